@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.llm.common import staged
 from loomdoc.llm.ngram_model import bind, log_ratio, log_ratios, words_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -21,7 +22,7 @@ THRESHOLD = -0.08
 
 
 def repeat_words(words: Column) -> Column:
-    """Words in 8-word windows that stand twice or more. words: a plain column."""
+    """Words in 8-word windows that stand twice or more."""
     at = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
 
@@ -57,8 +58,14 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
 def judge(docs: DataFrame, target_ids: DataFrame, *, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept."""
     ratios = log_ratios(docs, target_ids, doc_id=doc_id, text=text)
-    words = F.col("__words")
-    out = docs.withColumn("__words", words_of(F.col(text))).withColumns({**base_columns(F.col(text), words), "score": log_ratio(words, ratios)}).drop("__words")
+    def measured(w: Column) -> Column:
+        columns = {**base_columns(F.col(text), w), "score": log_ratio(w, ratios)}
+        return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+    # written once, so that filters on the results are not pushed below the work
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+    out = docs.withColumn("__m", bind(words_of(F.col(text)), measured))
+    out = staged(out.drop(*names), "judged").withColumns({c: F.col(f"__m.{c}") for c in names}).drop("__m")
     out = out.withColumn("score", F.when(F.col("n_words") > 0, F.col("score") / (2 * F.col("n_words"))).otherwise(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

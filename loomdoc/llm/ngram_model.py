@@ -37,7 +37,7 @@ def indexes(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def log_ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS, prior: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> list[float]:
+def log_ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS, prior: float = 20.0, doc_id: str = "doc_id", text: str = "text") -> list[float]:
     """log p_target - log p_raw of each bucket; raw text is all documents. target_ids: one column, doc_id."""
     trusted = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(1))
     ids = docs.select(F.col(doc_id).alias("_id"), words_of(F.col(text)).alias("_w")).join(trusted, "_id", "left")
@@ -47,10 +47,9 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS
     total_r, total_t = sum(c.r for c in counts), sum(c.t for c in counts)
     if not total_t:
         return [0.0] * buckets
-    shift = math.log(total_r + prior * buckets) - math.log(total_t + prior * buckets)
-    out = [shift] * buckets
-    for c in counts:
-        out[c.g] = math.log(c.t + prior) - math.log(c.r + prior) + shift
+    out = [0.0] * buckets
+    for c in counts:  # the raw share is the prior's mean: rare n-grams say little
+        out[c.g] = math.log(c.t + prior) - math.log(c.r * total_t / total_r + prior)
     return out
 
 

@@ -58,6 +58,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", license_struct(F.col("text")).alias("_r")).select("doc_id", "_r.*")
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdoc.llm.recurrent_lm import score_documents
+
+    return score_documents(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdoc.llm.packing import pack
 
@@ -90,6 +96,6 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_byte_bpe, op4_license_scan, op6_best_fit_packing, op7_importance_resampling, op8_media_columns, op9_circulant_minhash, op10_fuzzy_line_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_byte_bpe, op4_license_scan, op5_recurrent_lm, op6_best_fit_packing, op7_importance_resampling, op8_media_columns, op9_circulant_minhash, op10_fuzzy_line_dedup)
 }
 SQL: dict[str, str] = {}

@@ -83,7 +83,7 @@ def _hashed(size: int):
         for batch in batches:
             ids, texts = batch.columns
             for lo in range(0, len(ids), 512):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], []]
                 seen: dict[bytes, tuple] = {}
                 for t in texts[lo : lo + 512]:
                     s = shingle_set(t.as_py(), size)
@@ -92,10 +92,10 @@ def _hashed(size: int):
                     if key not in seen:
                         sig = signature(s) if len(s) else s
                         seen[key] = ((sig >> _U(32)).astype(np.uint32).tobytes(), band_keys(sig))
-                    for c, x in zip(cols, (len(s), key, raw, *seen[key]), strict=True):
+                    for c, x in zip(cols, (len(s), key, *seen[key]), strict=True):
                         c.append(x)
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "key", "hashes", "sig", "bands"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "key", "sig", "bands"])
 
     return run
 
@@ -118,23 +118,39 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id
         return pa.array(out, pa.bool_())
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = staged(read.mapInArrow(_hashed(size), "doc_id long, n long, key binary, hashes binary, sig binary, bands array<long>"), "shingles")
+    table = staged(read.mapInArrow(_hashed(size), "doc_id long, n long, key binary, sig binary, bands array<long>"), "shingles")
     # a class for each shingle set, its node number is a hash of the key's 16 bytes
     node = F.xxhash64("key")
     classes = staged(table.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")).select("key", "rep", node.alias("node")), "classes")
     heads = table.where("n > 0").join(classes, "key").where("doc_id <=> rep")
-    sets = staged(heads.select("node", "n", "sig", "hashes", "bands"), "class-sets")
+    sets = staged(heads.select("node", "n", "sig", "bands"), "class-sets")
     buckets = sets.select("node", "n", F.explode("bands").alias("bucket")).distinct()
     many = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     left = staged(buckets.join(many, "bucket"), "buckets").withColumn("component", F.col("node"))
     bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     ends = [sets.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"]
-    wholes = [sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab"]
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                nodes, keys, texts = batch.slice(lo, 512).columns
+                raws = [shingle_set(t.as_py(), size).tobytes() for t in texts]
+                same = pa.array([xxhash.xxh3_128_digest(r) == k.as_py() for r, k in zip(raws, keys, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(raws, pa.binary())], ["node", "hashes"]).filter(same)
+
+    def full_sets(pairs: DataFrame) -> DataFrame:
+        """The sets of the classes in pairs, made again from the whole texts: not all sets are ever stored."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = classes.join(nodes, "node").select("node", "key", F.col("rep").alias("_rep"))
+        texts = read.join(need, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "key", "text")
+        return staged(texts.mapInArrow(whole, "node long, hashes binary"), "full-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         found = pairs.where(bound).select("a", "b").distinct()
         found = staged(found.join(ends[0], "a").join(ends[1], "b").where(alike("sa", "sb")).select("a", "b"), "alike").distinct()
-        return staged(found.join(wholes[0], "a").join(wholes[1], "b").where(linked("ha", "hb")).select("a", "b").distinct(), "linked")
+        wholes = full_sets(found)
+        ha, hb = [wholes.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab"]
+        return staged(found.join(ha, "a").join(hb, "b").where(linked("ha", "hb")).select("a", "b").distinct(), "linked")
 
     links = None
     for r in range(rounds + 1):

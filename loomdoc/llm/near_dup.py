@@ -65,12 +65,13 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray, length: int = BANDS * ROWS) -> np.ndarray:
+def signature(hashes: np.ndarray, length: int = BANDS * ROWS, block: int = 512) -> np.ndarray:
+    """All coordinates of a block of hashes at once: few calls for short texts, bounded memory for long ones."""
     out = np.full(length, np.iinfo(np.uint64).max, dtype=_U)
-    for at in range(0, len(hashes), 4096):
-        x = mix(hashes[at : at + 4096], 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-        for k in range(length):
-            out[k] = min(out[k], mix(x + _U(k), 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53).min())
+    shifts = np.arange(length, dtype=_U)[:, None]
+    for at in range(0, len(hashes), block):
+        x = mix(hashes[at : at + block], 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+        np.minimum(out, mix(x + shifts, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53).min(axis=1), out=out)
     return out
 
 

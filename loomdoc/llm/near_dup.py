@@ -4,10 +4,10 @@ sigma and pi are bijections of the 64-bit integers. Coordinate k of a signature
 pi(sigma(x) + k mod 2**64): pi circularly shifted by k, so the two permutations give all coordinates.
 
 Documents with equal shingle sets form one class and their smallest doc_id stands for it. Classes that share a band are
-candidates. They are linked in rounds: in each bucket every class is compared with one hub (a bucket's hub is an
-aggregate, so a bucket of any size is handled without gathering it), then the components found so far are
-merged and settled buckets go. What two hub rounds leave is compared in full: all pairs of a bucket that are not yet
-connected, behind a length bound and the signatures' estimate. A link inside a component that is already connected
+candidates. In each bucket every class is first compared with one hub, the class whose buckets are fullest (an aggregate,
+so a bucket of any size is handled without gathering it), and the components found are merged. Classes in buckets that
+this leaves in several components are joined exactly: two sets alike enough share one of their rarest shingles, at places
+that their sizes bound, so unlike texts that share bands do not meet. A link inside a component that is already connected
 changes no result and is not looked for.
 
 Cases. Null or empty text, or no words: an empty set, linked with nothing, its own component. Fewer words than a shingle:
@@ -18,14 +18,16 @@ never a component's id unless all ids in it are null, and is kept only then.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from loomdoc.llm.common import staged
 from loomdoc.llm.components import components
@@ -101,7 +103,46 @@ def _hashed(size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+@arrow_udf(ArrayType(LongType()))
+def hash_list(raw: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x.as_py(), np.int64) for x in raw], pa.list_(pa.int64()))
+
+
+def rare_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of sets in different components that hold all with a Jaccard similarity of percent or more.
+
+    tokens: node, n (its number of tokens), component, h. Every set is ordered from the rarest token on. With t = percent
+    / 100, sets of x and y tokens that alike share o = t / (1 + t) * (x + y), so their first common token stands in either
+    before the last o. A token of the smaller set goes to the key of its size class, a token of the larger one to those
+    classes that its place allows. At each key the sets of the largest component meet only the sets of other ones.
+    """
+    rarity = tokens.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    # a token of one set alone meets nothing; as the rarest it stands before all others, so places are counted from the end
+    common = tokens.join(rarity, "h").withColumn("back", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("f"), F.desc("h"))))
+    left = F.col("back")  # tokens from this one to the last
+    t = percent / 100
+    near = 1e-9
+    size_class = lambda x: F.floor(F.log(x) / math.log(1.02) + near)
+    need = lambda x, y: t / (1 + t) * (x + y)
+    placed = staged(common.select("node", "n", "component", "h", "back").where(left >= need(F.col("n"), t * F.col("n")) - near), "rare-shingles")
+    small = placed.where(left >= need(F.col("n"), F.col("n")) - near).withColumn("class", size_class(F.col("n")))
+    most = F.least(left * (1 + t) / t - F.col("n"), F.col("n").cast("double"))
+    large = placed.withColumn("class", F.explode(F.sequence(size_class(t * F.col("n") - near), size_class(most + near))))
+    big = small.select("h", "class", "component").groupBy("h", "class", "component").agg(F.count("*").alias("c"))
+    big = big.groupBy("h", "class").agg(F.max(F.struct("c", "component"))["component"].alias("big"))
+    small, large = small.join(big, ["h", "class"]), large.join(big, ["h", "class"])
+
+    def meet(s: DataFrame, x: DataFrame) -> DataFrame:
+        a = s.select("h", "class", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("back").alias("ra"))
+        b = x.select("h", "class", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("back").alias("rb"))
+        on = (a["h"] == b["h"]) & (a["class"] == b["class"]) & F.expr("ca != cb and na <= nb") & (F.least("ra", "rb") >= need(F.col("na"), F.col("nb")) - near)
+        return a.join(b, on).select("a", "na", "b", "nb")
+
+    other = F.col("component") != F.col("big")
+    return meet(small.where(other), large).union(meet(small.where(~other), large.where(other)))
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     least_matches = int(BANDS * ROWS * (percent / 100 - 0.2))  # five and a half deviations below the threshold
 
@@ -126,8 +167,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id
     heads = table.where("n > 0").join(classes, "key").where("doc_id <=> rep")
     sets = staged(heads.select("node", "n", "sig", "bands"), "class-sets")
     buckets = sets.select("node", "n", F.explode("bands").alias("bucket")).distinct()
-    many = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    left = staged(buckets.join(many, "bucket"), "buckets").withColumn("component", F.col("node"))
+    many = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    shared = staged(buckets.join(many, "bucket"), "buckets")
+    degrees = shared.groupBy("node").agg(F.sum("c").alias("degree"))
+    left = staged(shared.drop("c").join(degrees, "node"), "degrees")
     bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     ends = [sets.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"]
 
@@ -153,21 +196,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id
         ha, hb = [wholes.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab"]
         return staged(found.join(ha, "a").join(hb, "b").where(linked("ha", "hb")).select("a", "b").distinct(), "linked")
 
-    links = None
-    for r in range(rounds + 1):
-        if r < rounds:
-            hubs = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))).alias("hub")).select("bucket", "hub.*")
-            pairs = left.join(hubs, "bucket").where("component != ca").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "na", F.col("n").alias("nb"))
-        else:
-            other = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            pairs = left.join(other, "bucket").where(f"component < ca and {bound.replace('nb', 'n')}").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "na", F.col("n").alias("nb"))
-        new = verified(pairs)
-        links = new if links is None else links.union(new)
-        found = staged(components(links), "components")
-        if r < rounds:
-            now = left.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-            left = staged(now.join(open_, "bucket"), "open-buckets")
+    def ends_of(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", F.col("node").alias("hub"), F.col("n").alias("nb"))).alias("h")).select("bucket", "h.hub", "h.nb")
+    links = verified(left.join(hubs, "bucket").where("node != hub").select(*ends_of("node", "hub"), F.col("n").alias("na"), "nb"))
+    found = staged(components(links), "components")
+    now = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    rest = staged(now.join(open_, "bucket").select("node", "n", "component").distinct(), "open-classes")
+    sizes = rest.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    tokens = full_sets(sizes).join(rest, "node").select("node", "n", "component", F.explode(hash_list("hashes")).alias("h"))
+    met = rare_pairs(staged(tokens, "open-shingles"), percent)
+    links = links.union(verified(met.select(*ends_of("a", "b"), "na", "nb")))
+    found = staged(components(links), "components")
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # only components of several classes need a smallest id; the others have their class's
     several = named.groupBy("component").agg(F.min("rep").alias("component_id"))

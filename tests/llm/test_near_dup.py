@@ -40,3 +40,34 @@ def test_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as component", "3 as key")
     assert sorted(map(tuple, near_duplicates(docs).collect())) == brute(rows)
     assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_rare_pairs(spark):
+    """All pairs at the threshold, also where sets of one bucket are mostly unlike and one component is large."""
+    import random
+
+    from loomdoc.llm.near_dup import rare_pairs
+
+    r = random.Random(5)
+    base = list(range(1000, 1040))
+    sets = {i: set(r.sample(base, r.randint(30, 40))) | {r.randrange(90) for _ in range(r.randint(0, 6))} for i in range(120)}
+    component = {i: 0 if i < 60 else i for i in sets}
+    want = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    rows = [(i, len(s), component[i], h) for i, s in sets.items() for h in s]
+    got = rare_pairs(spark.createDataFrame(rows, "node long, n long, component long, h long"), 85).collect()
+    assert want and want <= {tuple(sorted((x.a, x.b))) for x in got}
+
+
+def test_star_of_copies(spark):
+    """Copies near one text, many of them too far from it and from one another."""
+    import random
+
+    r = random.Random(3)
+    base = [f"w{r.randrange(400)}" for _ in range(146)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"x{r.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)

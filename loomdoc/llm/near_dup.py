@@ -18,19 +18,19 @@ never a component's id unless all ids in it are null, and is kept only then.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType
 
 from loomdoc.llm.common import staged
 from loomdoc.llm.components import components
+from loomdoc.llm.set_join import rare_pairs
 
 BANDS, ROWS = 20, 5
 UP = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -108,40 +108,6 @@ def hash_list(raw: pa.Array) -> pa.Array:
     return pa.array([np.frombuffer(x.as_py(), np.int64) for x in raw], pa.list_(pa.int64()))
 
 
-def rare_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) of sets in different components that hold all with a Jaccard similarity of percent or more.
-
-    tokens: node, n (its number of tokens), component, h. Every set is ordered from the rarest token on. With t = percent
-    / 100, sets of x and y tokens that alike share o = t / (1 + t) * (x + y), so their first common token stands in either
-    before the last o. A token of the smaller set goes to the key of its size class, a token of the larger one to those
-    classes that its place allows. At each key the sets of the largest component meet only the sets of other ones.
-    """
-    rarity = tokens.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    # a token of one set alone meets nothing; as the rarest it stands before all others, so places are counted from the end
-    common = tokens.join(rarity, "h").withColumn("back", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("f"), F.desc("h"))))
-    left = F.col("back")  # tokens from this one to the last
-    t = percent / 100
-    near = 1e-9
-    size_class = lambda x: F.floor(F.log(x) / math.log(1.02) + near)
-    need = lambda x, y: t / (1 + t) * (x + y)
-    placed = staged(common.select("node", "n", "component", "h", "back").where(left >= need(F.col("n"), t * F.col("n")) - near), "rare-shingles")
-    small = placed.where(left >= need(F.col("n"), F.col("n")) - near).withColumn("class", size_class(F.col("n")))
-    most = F.least(left * (1 + t) / t - F.col("n"), F.col("n").cast("double"))
-    large = placed.withColumn("class", F.explode(F.sequence(size_class(t * F.col("n") - near), size_class(most + near))))
-    big = small.select("h", "class", "component").groupBy("h", "class", "component").agg(F.count("*").alias("c"))
-    big = big.groupBy("h", "class").agg(F.max(F.struct("c", "component"))["component"].alias("big"))
-    small, large = small.join(big, ["h", "class"]), large.join(big, ["h", "class"])
-
-    def meet(s: DataFrame, x: DataFrame) -> DataFrame:
-        a = s.select("h", "class", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("back").alias("ra"))
-        b = x.select("h", "class", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("back").alias("rb"))
-        on = (a["h"] == b["h"]) & (a["class"] == b["class"]) & F.expr("ca != cb and na <= nb") & (F.least("ra", "rb") >= need(F.col("na"), F.col("nb")) - near)
-        return a.join(b, on).select("a", "na", "b", "nb")
-
-    other = F.col("component") != F.col("big")
-    return meet(small.where(other), large).union(meet(small.where(~other), large.where(other)))
-
-
 def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     least_matches = int(BANDS * ROWS * (percent / 100 - 0.2))  # five and a half deviations below the threshold

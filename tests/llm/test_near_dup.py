@@ -46,7 +46,7 @@ def test_rare_pairs(spark):
     """All pairs at the threshold, also where sets of one bucket are mostly unlike and one component is large."""
     import random
 
-    from loomdoc.llm.near_dup import rare_pairs
+    from loomdoc.llm.set_join import rare_pairs
 
     r = random.Random(5)
     base = list(range(1000, 1040))
@@ -71,3 +71,39 @@ def test_star_of_copies(spark):
             w[r.randrange(len(w))] = f"x{r.randrange(30)}"
         rows.append((i, " ".join(w)))
     assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
+def test_fuzzy_lines(spark):
+    """Line links against all pairs, on lines that differ by a few characters."""
+    import random
+
+    from loomdoc.llm.line_dedup import drop_lines
+
+    r = random.Random(9)
+    bases = ["".join(r.choice("abcdefghij ") for _ in range(120)) for _ in range(4)]
+    docs, lines = [], []
+    for i in range(40):
+        own = []
+        for k in range(3):
+            c = list(r.choice(bases))
+            for _ in range(r.choice([0, 1, 1, 4])):
+                c[r.randrange(120)] = r.choice("xyz")
+            own.append("".join(c))
+            lines.append(((i, k), own[-1]))
+        docs.append((i, "\n".join(own)))
+    sets = {p: {s[j : j + 8] for j in range(len(s) - 7)} for p, s in lines}
+    root = {p: p for p in sets}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = [(i, "\n".join(s for k, s in enumerate(t.split("\n")) if find((i, k)) == (i, k))) for i, t in docs]
+    got = drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == want

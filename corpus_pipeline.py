@@ -10,12 +10,12 @@ from loomdoc.llm.line_dedup import drop_lines
 from loomdoc.llm.near_dup import near_duplicates
 from loomdoc.llm.packing import pack
 from loomdoc.llm.quality_rules import judge
-from loomdoc.llm.queries import good_share, trusted, vocabulary
+from loomdoc.llm.queries import labels, trusted, vocabulary
 from loomdoc.llm.resampling import resample
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = resample(docs, trusted(spark, sf_dir), share=good_share(spark, sf_dir))
+    out = resample(docs, labels=labels(spark, sf_dir))
     return out.where("kept").select(docs.columns)
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from loomdoc.llm.common import SPACE
 
 BUCKETS = 1 << 15
+#: Labelled documents are scored by models of the other folds where a cut is fitted on them.
+FOLDS = 2
 
 
 def words_of(text: Column) -> Column:
@@ -37,19 +39,48 @@ def indexes(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def ngram_counts(rows: DataFrame, counted: dict[str, Column], buckets: int) -> list:
+    """Of rows with _w (words_of a text): for each bucket g, how many n-grams each column of counted is not null for."""
+    keep = [c.alias(name) for name, c in counted.items()]
+    pairs = rows.select(*keep, F.explode(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b"))).alias("p"))
+    both = F.array(bucket(buckets, "p.a"), bucket(buckets, "p.a", "p.b"))
+    return pairs.select(*counted, F.explode(both).alias("g")).groupBy("g").agg(*[F.count(name).alias(name) for name in counted]).collect()
+
+
+def smoothed(counts: list[tuple[int, int, int]], buckets: int, prior: float) -> list[float]:
+    """log p_target - log p_raw of each bucket from (bucket, raw count, target count)."""
+    total_r, total_t = sum(r for _, r, _ in counts), sum(t for _, _, t in counts)
+    out = [0.0] * buckets
+    if total_t:
+        for g, r, t in counts:  # the raw share is the prior's mean: rare n-grams say little
+            out[g] = math.log(t + prior) - math.log(r * total_t / total_r + prior)
+    return out
+
+
 def log_ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS, prior: float = 20.0, doc_id: str = "doc_id", text: str = "text") -> list[float]:
     """log p_target - log p_raw of each bucket; raw text is all documents. target_ids: one column, doc_id."""
     trusted = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(1))
     ids = docs.select(F.col(doc_id).alias("_id"), words_of(F.col(text)).alias("_w")).join(trusted, "_id", "left")
-    pairs = ids.select("_t", F.explode(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b"))).alias("p"))
-    both = F.array(bucket(buckets, "p.a"), bucket(buckets, "p.a", "p.b"))
-    counts = pairs.select("_t", F.explode(both).alias("g")).groupBy("g").agg(F.count("*").alias("r"), F.count("_t").alias("t")).collect()
-    total_r, total_t = sum(c.r for c in counts), sum(c.t for c in counts)
-    if not total_t:
-        return [0.0] * buckets
-    out = [0.0] * buckets
-    for c in counts:  # the raw share is the prior's mean: rare n-grams say little
-        out[c.g] = math.log(c.t + prior) - math.log(c.r * total_t / total_r + prior)
+    counts = ngram_counts(ids, {"r": F.lit(1), "t": F.col("_t")}, buckets)
+    return smoothed([(c.g, c.r, c.t) for c in counts], buckets, prior)
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The labelled documents: _text, good, target (None where not so) and fold. A doc_id's best label counts."""
+    good, target = F.col("quality") == 1, (F.col("quality") == 1) & (F.col("toxic") == 0)
+    known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(good, 1)).alias("good"), F.max(F.when(target, 1)).alias("target"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(known, "_id")
+    return rows.withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int")).drop("_id")
+
+
+def labelled_ratios(rows: DataFrame, *, buckets: int = BUCKETS, prior: float = 20.0) -> list[list[float]]:
+    """Ratios where raw text is the labelled documents alone: of each fold by the other folds, then of all."""
+    counted = {f"{c}{k}": F.when(F.col("fold") == k, x) for k in range(FOLDS) for c, x in (("r", F.lit(1)), ("t", F.col("target")))}
+    counts = ngram_counts(rows.withColumn("_w", words_of(F.col("_text"))), counted, buckets)
+    out = []
+    for left_out in range(FOLDS + 1):
+        used = [k for k in range(FOLDS) if k != left_out]
+        out.append(smoothed([(c.g, r, sum(c[f"t{k}"] for k in used)) for c in counts if (r := sum(c[f"r{k}"] for k in used))], buckets, prior))
     return out
 
 

@@ -25,11 +25,6 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir).where("quality = 1 and toxic = 0").select("doc_id")
 
 
-def good_share(spark: SparkSession, sf_dir: str) -> float:
-    """The share of good documents among all labelled ones."""
-    return labels(spark, sf_dir).agg(F.avg("quality")).first()[0] or 0.0
-
-
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdoc.llm.quality_rules import judge
 
@@ -73,7 +68,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdoc.llm.resampling import resample
 
-    out = resample(documents(spark, sf_dir).select("doc_id", "text"), trusted(spark, sf_dir), share=good_share(spark, sf_dir))
+    out = resample(documents(spark, sf_dir).select("doc_id", "text"), labels=labels(spark, sf_dir))
     return out.select("doc_id", "log_weight", "noisy", "kept")
 
 

@@ -2,22 +2,27 @@
 
 A document's log importance weight is log p_target - log p_raw of its n-grams. Each gets Gumbel noise, a function of its
 doc_id and the seed, and the k largest sums stay: a sample without replacement in proportion to the weights. k is a share
-of the rows. The cut is found by radix selection: a histogram of at most 65,536 counts for each 16 bits of the ordered
-key, so neither a global sort nor the scores of all documents reach one place.
+of the rows, or, with labels, follows from what the rows score: a weight is fitted that best parts good and bad labelled
+documents, each scored by a model that has not seen it, and k is the count of all rows that reach it. Raw text is then
+the labelled documents alone, so neither weights nor the fitted one move with what unlabelled rows repeat. The cut is
+found by radix selection: a histogram of at most 65,536 counts for each 16 bits of the ordered key, so neither a global
+sort nor the scores of all documents reach one place.
 
 Cases. Null or empty text: weight 0. Ties in the key: all rows of the cut's key stay. Repeated rows with one doc_id have
-one key. Null doc_id: noise of its own. Empty table: no rows. Share 1 or more: all stay. Extra columns pass through.
+one key. Null doc_id: noise of its own. Empty table: no rows. Share 1 or more: all stay. Only good labels: all stay.
+Extra columns pass through.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.common import staged
-from loomdoc.llm.ngram_model import log_ratio, log_ratios, words_of
+from loomdoc.llm.ngram_model import FOLDS, labelled_ratios, labelled_rows, log_ratio, log_ratios, words_of
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -41,13 +46,48 @@ def kth_largest(table: DataFrame, key: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, *, share: float, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with log_weight, noisy and kept (among the k = ceil(share * rows) largest)."""
-    ratios = log_ratios(docs, target_ids, doc_id=doc_id, text=text)
+def step(weight: Column) -> Column:
+    """The weight in steps of 1 in 1,000 above 1 and 0.001 below: some 30,000 for any weights, in their order."""
+    return F.when(weight < 0, -F.ceil(F.log1p(-weight) * 1000)).otherwise(F.floor(F.log1p(weight) * 1000))
+
+
+def fitted_step(rows: DataFrame, ratios: list[list[float]]) -> float:
+    """The lowest step from which the share of good labelled documents most exceeds that of bad ones, -inf or inf if all are of one kind."""
+    def scored(k: int) -> DataFrame:
+        words = rows.where(F.col("fold") == k).withColumn("__words", words_of(F.col("_text")))
+        return words.select("good", log_ratio(F.col("__words"), ratios[k]).alias("w"))
+
+    weights = staged(reduce(DataFrame.unionAll, map(scored, range(FOLDS))), "label-weights")
+    counts = weights.groupBy(step(F.col("w")).alias("s")).agg(F.count("good").alias("good"), F.count("*").alias("n")).collect()
+    goods, total = sum(c.good for c in counts), sum(c.n for c in counts)
+    if goods in (0, total):
+        return -math.inf if goods else math.inf
+    best, at, good, bad = 0.0, math.inf, 0, 0
+    for c in sorted(counts, key=lambda c: -c.s):
+        good, bad = good + c.good, bad + c.n - c.good
+        if good * (total - goods) - bad * goods >= best:
+            best, at = good * (total - goods) - bad * goods, c.s
+    return at
+
+
+def resample(docs: DataFrame, target_ids: DataFrame | None = None, *, share: float | None = None, labels: DataFrame | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with log_weight, noisy and kept (among the k largest). Either target_ids and share, k = ceil(share * rows), or labels.
+
+    labels: doc_id, quality and toxic; the target is what has quality 1 and toxic 0.
+    """
+    if labels is None:
+        ratios, least = log_ratios(docs, target_ids, doc_id=doc_id, text=text), None
+    else:
+        rows = staged(labelled_rows(docs, labels, doc_id=doc_id, text=text), "labelled")
+        *folds, ratios = labelled_ratios(rows)
+        least = fitted_step(rows, folds)
     scored = staged(docs.withColumn("__words", words_of(F.col(text))).withColumn("log_weight", log_ratio(F.col("__words"), ratios)).drop("__words").withColumn("noisy", F.col("log_weight") + gumbel(F.col(doc_id), seed)), "weights")
     # 24 bits before and 24 after the binary point: an order-keeping, non-negative integer
     ordered = scored.withColumn("_key", F.floor((F.col("noisy") + float(1 << 30)) * float(1 << 24)).cast("long"))
-    k = math.ceil(share * ordered.count())
-    cut = kth_largest(ordered.select("_key"), "_key", k) if k else None
-    kept = F.lit(True) if share >= 1 else F.lit(False) if cut is None else F.col("_key") >= cut
+    if least is None:
+        k, whole = math.ceil(share * ordered.count()), share >= 1
+    else:
+        k, whole = ordered.where(step(F.col("log_weight")) >= F.lit(least)).count(), least == -math.inf
+    cut = kth_largest(ordered.select("_key"), "_key", k) if k and not whole else None
+    kept = F.lit(True) if whole else F.lit(False) if cut is None else F.col("_key") >= cut
     return ordered.withColumn("kept", kept).drop("_key")

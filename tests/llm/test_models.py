@@ -70,3 +70,22 @@ def test_line_dedup(spark):
     rows = [(1, f"{TEXT}\n\n{other}"), (2, f"{near}\nhello"), (3, f"{TEXT}\n{TEXT}"), (4, None), (5, "")]
     got = {r.doc_id: r.text for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: f"{TEXT}\n\n{other}", 2: "hello", 3: "", 4: None, 5: ""}
+
+
+def test_copies_do_not_move_the_cut(spark):
+    """A third of the rows are copies of one clean or one bad text: they are kept or dropped as it is, and nothing else changes."""
+    rows, marks = [], []
+    for i in range(300):
+        bad = i % 6 == 0
+        words = [f"{'bad' if bad else 'good'}{(i * 7 + k * k) % 40}" for k in range(30)] + [f"word{(i + k) % 30}" for k in range(30)]
+        rows.append((i, " ".join(words)))
+        if i % 5 < 2:
+            marks.append((i, 0 if bad else 1, 0))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    clean, bad = [next(t for i, t in rows if i % 5 > 1 and (i % 6 == 0) == b) for b in (False, True)]
+    base = {r.doc_id: r.kept for r in resample(spark.createDataFrame(rows, "doc_id long, text string"), labels=labels).collect()}
+    for copied in (clean, bad):
+        more = rows + [(1000 + i, f"{copied} w{i % 3}") for i in range(150)]
+        got = {r.doc_id: r.kept for r in resample(spark.createDataFrame(more, "doc_id long, text string"), labels=labels).collect()}
+        assert all(got[i] == (copied == clean) for i in range(1000, 1150))
+        assert {i: got[i] for i, _ in rows} == base == {i: i % 6 != 0 for i, _ in rows}

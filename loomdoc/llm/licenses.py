@@ -35,9 +35,9 @@ bsd-3-clause | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modif
 bsd-4-clause | bsd | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd) | bsd 4 clause
 0bsd | 0bsd bsd | (?:0bsd|zero clause bsd|bsd zero clause) | 0bsd
 isc | isc | isc | isc
-gpl-1 | gpl gnu | (?:gnu )?(?:gpl|general public)(?: licen[cs]e)?(?: version| v)? ?1(?: 0)? | gpl 1 0
-gpl-2 | gpl gplv2 gnu | (?:gnu )?(?:gplv2|(?:gpl|general public)(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?) | gpl 2 0
-gpl-3 | gpl gplv3 gnu | (?:gnu )?(?:gplv3|(?:gpl|general public)(?: licen[cs]e)?(?: version| v)? ?3(?: 0)?) | gpl 3 0
+gpl-1 | gpl gnu general | (?:gnu )?(?:gpl|general public)(?: licen[cs]e)?(?: version| v)? ?1(?: 0)? | gpl 1 0
+gpl-2 | gpl gplv2 gnu general | (?:gnu )?(?:gplv2|(?:gpl|general public)(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?) | gpl 2 0
+gpl-3 | gpl gplv3 gnu general | (?:gnu )?(?:gplv3|(?:gpl|general public)(?: licen[cs]e)?(?: version| v)? ?3(?: 0)?) | gpl 3 0
 lgpl-2 | lgpl gnu lesser library | (?:gnu )?(?:lgpl|(?:lesser|library) general public)(?: licen[cs]e)?(?: version| v)? ?2 0 | lgpl 2 0
 lgpl-2.1 | lgpl gnu lesser | (?:gnu )?(?:lgpl|lesser general public)(?: licen[cs]e)?(?: version| v)? ?2 1 | lgpl 2 1
 lgpl-3 | lgpl lgplv3 gnu lesser | (?:gnu )?(?:lgplv3|(?:lgpl|lesser general public)(?: licen[cs]e)?(?: version| v)? ?3(?: 0)?) | lgpl 3 0
@@ -47,11 +47,11 @@ mpl-2 | mpl mozilla | (?:mpl|mozilla public)(?: licen[cs]e)?(?: version| v)? ?2(
 epl-1 | epl eclipse | (?:epl|eclipse public)(?: licen[cs]e)?(?: version| v)? ?1(?: 0)? | epl 1 0
 epl-2 | epl eclipse | (?:epl|eclipse public)(?: licen[cs]e)?(?: version| v)? ?2(?: 0)? | epl 2 0
 edl-1 | edl eclipse | (?:edl|eclipse distribution)(?: licen[cs]e)?(?: version| v)? ?1(?: 0)? | edl 1 0
-cddl-1.0 | cddl | (?:cddl|common development and distribution)(?: licen[cs]e)?(?: version| v)? ?1 0 | cddl 1 0
-cddl-1.1 | cddl | (?:cddl|common development and distribution)(?: licen[cs]e)?(?: version| v)? ?1 1 | cddl 1 1
-cpl-1 | cpl | (?:cpl|common public)(?: licen[cs]e)?(?: version| v)? ?1(?: 0)? | cpl 1 0
-eupl-1.1 | eupl | (?:eupl|european union public)(?: licen[cs]e)?(?: version| v)? ?1 1 | eupl 1 1
-eupl-1.2 | eupl | (?:eupl|european union public)(?: licen[cs]e)?(?: version| v)? ?1 2 | eupl 1 2
+cddl-1.0 | cddl distribution | (?:cddl|common development and distribution)(?: licen[cs]e)?(?: version| v)? ?1 0 | cddl 1 0
+cddl-1.1 | cddl distribution | (?:cddl|common development and distribution)(?: licen[cs]e)?(?: version| v)? ?1 1 | cddl 1 1
+cpl-1 | cpl common | (?:cpl|common public)(?: licen[cs]e)?(?: version| v)? ?1(?: 0)? | cpl 1 0
+eupl-1.1 | eupl union | (?:eupl|european union public)(?: licen[cs]e)?(?: version| v)? ?1 1 | eupl 1 1
+eupl-1.2 | eupl union | (?:eupl|european union public)(?: licen[cs]e)?(?: version| v)? ?1 2 | eupl 1 2
 ms-pl | ms microsoft | (?:ms pl|microsoft public) | ms pl
 ms-rl | ms microsoft | (?:ms rl|microsoft reciprocal) | ms rl
 artistic-1 | artistic | artistic(?: licen[cs]e)?(?: version| v)? ?1(?: 0)? | artistic 1 0
@@ -77,7 +77,7 @@ pddl-1 | pddl | pddl(?: version| v)? ?1? | pddl 1 0
 ncsa | ncsa illinois | (?:ncsa|university of illinois ncsa) | ncsa
 upl-1 | upl universal | (?:upl|universal permissive)(?: licen[cs]e)?(?: version| v)? ?1? | upl 1 0
 afl-3 | afl academic | (?:afl|academic free)(?: licen[cs]e)?(?: version| v)? ?3(?: 0)? | afl 3 0
-osl-3 | osl | (?:osl|open software)(?: licen[cs]e)?(?: version| v)? ?3(?: 0)? | osl 3 0
+osl-3 | osl open | (?:osl|open software)(?: licen[cs]e)?(?: version| v)? ?3(?: 0)? | osl 3 0
 ecl-2 | ecl educational | (?:ecl|educational community)(?: licen[cs]e)?(?: version| v)? ?2(?: 0)? | ecl 2 0
 cecill-2.1 | cecill | cecill(?: version| v)? ?2 1 | cecill 2 1
 mulan-psl-2 | mulan mulanpsl | mulan ?psl(?: version| v)? ?2 | mulanpsl 2 0
@@ -114,8 +114,8 @@ apache-2 | 90 | 95 | apache | www apache org licenses license 2 0
 apache-1.1 | 90 | 90 | apache | this product includes software developed by the apache software foundation
 gpl-2 | 100 | 99 | gnu | gnu general public license version 2 june 1991
 gpl-3 | 100 | 99 | gnu | gnu general public license version 3 29 june 2007
-gpl-2-or-later | 98 | 97 | gnu | (?:the gnu general public license as published by the free software foundation )?either version 2 of the license or at your option any later version
-gpl-3-or-later | 98 | 97 | gnu | (?:the gnu general public license as published by the free software foundation )?either version 3 of the license or at your option any later version
+gpl-2-or-later | 98 | 97 | either | (?:the gnu general public license as published by the free software foundation )?either version 2 of the license or at your option any later version
+gpl-3-or-later | 98 | 97 | either | (?:the gnu general public license as published by the free software foundation )?either version 3 of the license or at your option any later version
 lgpl-2.1 | 100 | 99 | gnu | gnu lesser general public license version 2 1 february 1999
 lgpl-3 | 100 | 99 | gnu | gnu lesser general public license version 3 29 june 2007
 agpl-3 | 100 | 99 | affero | gnu affero general public license version 3 19 november 2007
@@ -143,7 +143,7 @@ ofl-1.1 | 90 | 92 | sil | scripts sil org ofl
 artistic-2 | 90 | 90 | artistic | the artistic license 2 0 copyright
 python-2 | 95 | 95 | python | python software foundation license version 2
 openssl | 95 | 95 | openssl | this product includes software developed by the openssl project
-json | 101 | 95 | evil | the software shall be used for good not evil
+json | 101 | 95 | good | the software shall be used for good not evil
 beerware | 95 | 95 | beer | you can buy me a beer in return
 cc0 | 95 | 97 | creativecommons | creativecommons org publicdomain zero 1 0
 public-domain-mark | 95 | 95 | creativecommons | creativecommons org publicdomain mark 1 0
@@ -160,21 +160,21 @@ cc-by-sa | 92 | 95 | creative | creative commons attribution share ?alike
 cc-by-nd | 92 | 95 | creative | creative commons attribution no ?deriv(?:ative)?s?
 cc-by | 90 | 92 | creative | creative commons attribution(?! (?:non|no|share))
 creative-commons | 40 | 50 | creative | creative commons licen[cs]e
-public-domain | 60 | 70 | domain | (?:released|placed|dedicated|is) (?:in|into|to) the public domain
+public-domain | 60 | 70 | public | (?:released|placed|dedicated|is) (?:in|into|to) the public domain
 proprietary | 70 | 80 | rights | all rights reserved
 proprietary | 80 | 90 | proprietary | proprietary and confidential
-proprietary | 85 | 92 | prohibited | unauthorized copying of this file via any medium is strictly prohibited
+proprietary | 85 | 92 | unauthorized | unauthorized copying of this file via any medium is strictly prohibited
 commercial | 60 | 70 | commercial | (?:under|with) a commercial licen[cs]e
 noncommercial | 60 | 70 | noncommercial non | (?:for )?non ?commercial (?:use|purposes) only
 research-only | 60 | 70 | research | for research (?:use|purposes) only
 """
 
-#: How a name stands in a text: priority, confidence in hundredths, further keyword or none, the regex around the name.
+#: How a name stands in a text: priority, confidence in hundredths, further keywords (any of them) or none, the regex around the name.
 FORMS = (
     (90, 97, "spdx", r"spdx licen[cs]e identifier {spdx}"),
     (80, 92, "under", r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|covered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?"),
     (70, 85, None, r"(?:the )?{name} (?:public )?licen[cs]e"),
-    (65, 80, "license", r"(?:licen[cs]e|licen[cs]ed) (?:is |as |by )?{name}"),
+    (65, 80, "license licence licensed licenced", r"(?:licen[cs]e|licen[cs]ed) (?:is |as |by )?{name}"),
 )
 
 
@@ -184,7 +184,7 @@ class Rule:
     priority: int
     confidence: float
     keywords: frozenset[bytes]
-    also: bytes | None
+    also: frozenset[bytes]
     pattern: re.Pattern
 
 
@@ -193,7 +193,7 @@ def rules() -> list[Rule]:
 
     def add(label: str, priority: int, hundredths: int, keys: str, also: str | None, pattern: str) -> None:
         whole = re.compile(b"(?<= )(?:" + pattern.encode() + b")(?= )")
-        out.append(Rule(label, priority, hundredths / 100, frozenset(k.encode() for k in keys.split()), also.encode() if also else None, whole))
+        out.append(Rule(label, priority, hundredths / 100, frozenset(k.encode() for k in keys.split()), frozenset(k.encode() for k in (also or "").split()), whole))
 
     for line in SIGNATURES.strip().splitlines():
         label, priority, hundredths, keys, pattern = line.split(" | ")
@@ -201,6 +201,8 @@ def rules() -> list[Rule]:
         add(label, int(priority), int(hundredths), keys, None, pattern + (r"\S*" if pattern[-1].isalpha() else ""))
     for line in NAMES.strip().splitlines():
         label, keys, name, spdx = line.split(" | ")
+        if version := re.search(r" \?(\d)", name):  # which may be written to the last word of the name: gpl2
+            keys += "".join(f" {k}{version[1]}" for k in keys.split())
         for priority, hundredths, also, form in FORMS:
             add(label, priority, hundredths, keys if "{name}" in form else spdx.split()[0], also, form.format(name=f"(?:{name})", spdx=f"{spdx}(?: only| or later)?"))
     for phrase, label in BASE.items():
@@ -235,7 +237,7 @@ class Scanner:
             r = self.rules[i]
             if r.also:
                 present = present or frozenset(words)
-                if r.also not in present:
+                if r.also.isdisjoint(present):
                     continue
             for m in r.pattern.finditer(text):
                 first = text.count(b" ", 0, m.start()) - 1

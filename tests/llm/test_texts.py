@@ -67,6 +67,40 @@ def test_license_base(spark, table):
         assert found == sorted(set(found)) and set(filter(None, r.base_labels.split(","))) <= set(found) and 0 <= r.score <= 1
 
 
+def test_license_gate():
+    """Scans behind the keyword gate agree with scans without it, on texts made from the rules' own regexes."""
+    from dataclasses import replace
+    from re import _parser
+
+    from loomdoc.llm.licenses import Scanner, rules
+
+    r = random.Random(4)
+
+    def sample(nodes):
+        out = ""
+        for op, arg in nodes:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "SUBPATTERN":
+                out += sample(arg[3])
+            elif kind == "BRANCH":
+                out += sample(r.choice(arg[1]))
+            elif kind == "MAX_REPEAT":
+                out += "".join(sample(arg[2]) for _ in range(r.choice([arg[0], min(arg[1], arg[0] + 1)])))
+            elif kind == "IN":
+                k, v = r.choice(arg)
+                out += chr(v) if str(k) == "LITERAL" else chr(r.randint(*v)) if str(k) == "RANGE" else "q"
+        return out
+
+    gated, whole = Scanner(), Scanner([replace(x, keywords=frozenset({b"zz"}), also=frozenset()) for x in rules()])
+    texts = ["licensed as BSD 3-Clause", "Licence: BSD 3-Clause", "licensed under the terms of the Common Public License version 1.0"]
+    texts += [sample(_parser.parse(x.pattern.pattern.decode())) for x in gated.rules for _ in range(30)]
+    wrong = [t for t in texts if gated.scan(f"{t} zz") != whole.scan(f"{t} zz")]
+    assert not wrong, (len(wrong), wrong[:5])
+    assert all(gated.scan(t)[5] for t in texts[:3])
+
+
 def test_packing(spark, table):
     import numpy as np
     from tokenizers import Tokenizer

@@ -118,3 +118,17 @@ def test_pipeline_stage(spark):
 
     rows = [(1, words("a", 60)), (2, words("a", 72)), (3, words("b", 60)), (4, words("b", 77))]
     assert sorted(r.doc_id for r in minhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()) == [1, 3, 4]
+
+
+def test_short_lines(spark):
+    """1,000 pairs of lines with 8 of 10 shingles in common: about 2 should share no band."""
+    import random
+
+    from loomdoc.llm.line_dedup import drop_lines
+
+    r = random.Random(12)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(17)) for _ in range(1000)]
+    rows = [row for i, s in enumerate(lines) for row in ((2 * i, s[:16]), (2 * i + 1, s[1:]))]
+    out = drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.where("doc_id % 2 = 0 and n_dropped > 0").count() == 0
+    assert out.where("doc_id % 2 = 1 and n_dropped = 0").count() <= 8

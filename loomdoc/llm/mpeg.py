@@ -166,11 +166,18 @@ def _vbr(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return False
 
 
+def _frames_to_end(data: bytes, at: int) -> bool:
+    """Whether frames without a gap fill data from at to its end."""
+    while at + 4 <= len(data) and (h := header(data[at : at + 4])):
+        at += h.length
+    return at == len(data)
+
+
 def read_stream(data: bytes) -> Stream:
     out = Stream()
     at = _id3v2(data, out.tags)
     end = len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" and not _frames_to_end(data, at):  # else the bytes are a frame's own
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             out.tags[f"id3v1:{name}"] = data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip()

@@ -141,6 +141,19 @@ def test_media_round_trip(spark, table):
         assert by_text.setdefault(r.payload_sha256, r.media_sha256) == r.media_sha256
 
 
+def test_media_tag_in_a_frame():
+    """The bytes of an ID3v1 tag's start are no tag inside the last frames; a tag after them is one."""
+    from loomdoc.llm.mpeg import read_stream, write_stream
+
+    for size in range(640, 2688, 64):
+        for k in range(3):
+            payload = (b"TAG" * 900)[k : k + size]
+            media = write_stream(payload)
+            assert read_stream(media).payload == payload
+            s = read_stream(media + b"TAG" + b"title".ljust(125, b"\0"))
+            assert s.payload == payload and s.tags["id3v1:title"] == "title"
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for query in (op2_token_counts, op3_byte_bpe, op4_license_scan, op6_best_fit_packing, op8_media_columns):

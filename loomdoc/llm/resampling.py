@@ -9,8 +9,8 @@ found by radix selection: a histogram of at most 65,536 counts for each 16 bits
 sort nor the scores of all documents reach one place.
 
 Cases. Null or empty text: weight 0. Ties in the key: all rows of the cut's key stay. Repeated rows with one doc_id have
-one key. Null doc_id: noise of its own. Empty table: no rows. Share 1 or more: all stay. Only good labels: all stay.
-Extra columns pass through.
+one key. Null doc_id: noise of its own. Empty table: no rows. Share 1 or more: all stay. Only good labels, or
+no label at all (an empty table, null qualities): all stay. Only bad labels: none stays. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def fitted_step(rows: DataFrame, ratios: list[list[float]]) -> float:
     counts = weights.groupBy(step(F.col("w")).alias("s")).agg(F.count("good").alias("good"), F.count("*").alias("n")).collect()
     goods, total = sum(c.good for c in counts), sum(c.n for c in counts)
     if goods in (0, total):
-        return -math.inf if goods else math.inf
+        return -math.inf if goods == total else math.inf
     best, at, good, bad = 0.0, math.inf, 0, 0
     for c in sorted(counts, key=lambda c: -c.s):
         good, bad = good + c.good, bad + c.n - c.good

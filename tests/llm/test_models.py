@@ -89,3 +89,10 @@ def test_copies_do_not_move_the_cut(spark):
         got = {r.doc_id: r.kept for r in resample(spark.createDataFrame(more, "doc_id long, text string"), labels=labels).collect()}
         assert all(got[i] == (copied == clean) for i in range(1000, 1150))
         assert {i: got[i] for i, _ in rows} == base == {i: i % 6 != 0 for i, _ in rows}
+
+
+def test_no_labels_keep_all(spark):
+    docs = spark.createDataFrame([(i, f"{TEXT} {i}") for i in range(5)] + [(9, None)], "doc_id long, text string")
+    for marks in ([], [(1, None, None), (2, None, 0)]):
+        labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+        assert resample(docs, labels=labels).where("kept").count() == 6

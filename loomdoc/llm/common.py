@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -24,19 +26,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is named (tests on one machine) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may do without."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="loomdoc-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and outlives lost executors."""
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage and outlives lost executors. See release()."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_staged_at"] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables after their last reader, and lets Spark's cleaner drop the shuffle files of ended jobs."""
+    for table in tables:
+        sc, path = table.sparkSession.sparkContext, table.__dict__.pop("_staged_at", None)
+        if path:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Memo(dict):
@@ -79,6 +105,15 @@ def per_text(text: Column, make: Callable[[], Callable[[str], object]], returns:
     return run(text)
 
 
+def slices(texts: pa.Array, most: int = 1 << 24) -> Iterator[pa.Array]:
+    """texts, null as empty, in parts of some `most` bytes; a longer text is a part of its own."""
+    texts = pc.fill_null(texts, "")
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    yield from (texts.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 def summed_vectors(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, blocks: int = 64) -> np.ndarray:
     """The sum over all tasks of task(batches), a vector of fixed length; the result's size does not depend on the data.
 

@@ -4,8 +4,13 @@ A text's n-grams are its words `[^\\x20\\x09-\\x0D]+` and its pairs of neighbour
 buckets. Counts over all documents come back as one row a bucket, so what reaches the driver is bounded by the number of
 buckets, a parameter. The ratios go into the plan as one constant array; scoring is a projection without any shuffle.
 
+No text is shuffled at any size: the labelled documents that a model learns from are at most LABELLED (a parameter; beyond
+it a sample by a hash of doc_id, the same for any split of the table), so their ids are broadcast and rows are marked in
+the same projection that counts them. Raw counts always cover all documents.
+
 Cases. Null or empty text: no n-grams, ratio 0. No target documents: every ratio is 0. Very long texts: linear in the
-words. Repeated rows: each counts. A doc_id with several labels is a target if any of them says so.
+words. Repeated rows: each counts. A doc_id with several labels is a target if any of them says so. Null doc_id in labels:
+ignored, as no document is known by it.
 """
 
 from __future__ import annotations
@@ -15,11 +20,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import SPACE
+from loomdoc.llm.common import SPACE, fresh
 
 BUCKETS = 1 << 15
 #: Labelled documents are scored by models of the other folds where a cut is fitted on them.
 FOLDS = 2
+#: The most labelled documents that a model learns from.
+LABELLED = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -31,20 +38,33 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def bucket(buckets: int, *words: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
+def one_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def next_hashes(hashes: Column, step: int = 1) -> Column:
+    """Each hash mixed with the one `step` places on, the last ones with none."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
+
 
+def bucket(hashed: Column, buckets: int) -> Column:
+    return F.pmod(hashed, F.lit(buckets)).cast("int")
 
-def indexes(words: Column) -> Column:
-    return F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
 
+def sampled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """labels, one row for each doc_id, or of more than `most` those with the smallest hashes, some `most` of them."""
+    n = labels.count()
+    if n <= most:
+        return labels
+    return labels.where(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 40)) < F.lit(int((1 << 40) * (most / n))))
 
-def ngram_counts(rows: DataFrame, counted: dict[str, Column], buckets: int) -> list:
-    """Of rows with _w (words_of a text): for each bucket g, how many n-grams each column of counted is not null for."""
-    keep = [c.alias(name) for name, c in counted.items()]
-    pairs = rows.select(*keep, F.explode(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b"))).alias("p"))
-    both = F.array(bucket(buckets, "p.a"), bucket(buckets, "p.a", "p.b"))
-    return pairs.select(*counted, F.explode(both).alias("g")).groupBy("g").agg(*[F.count(name).alias(name) for name in counted]).collect()
+
+def ngram_counts(rows: DataFrame, text: Column, counted: dict[str, Column], buckets: int) -> list:
+    """For each bucket g, how many n-grams of text each column of counted is not null for."""
+    one, two = fresh(rows, "one"), fresh(rows, "two")
+    hashed = rows.select(*[c.alias(name) for name, c in counted.items()], one_hashes(words_of(text)).alias(one)).withColumn(two, next_hashes(F.col(one)))
+    grams = hashed.select(*counted, F.explode(F.concat(one, two)).alias("g"))
+    return grams.groupBy(bucket(F.col("g"), buckets).alias("g")).agg(*[F.count(name).alias(name) for name in counted]).collect()
 
 
 def smoothed(counts: list[tuple[int, int, int]], buckets: int, prior: float) -> list[float]:
@@ -57,26 +77,26 @@ def smoothed(counts: list[tuple[int, int, int]], buckets: int, prior: float) ->
     return out
 
 
-def log_ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS, prior: float = 20.0, doc_id: str = "doc_id", text: str = "text") -> list[float]:
+def log_ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS, prior: float = 20.0, most: int = LABELLED, doc_id: str = "doc_id", text: str = "text") -> list[float]:
     """log p_target - log p_raw of each bucket; raw text is all documents. target_ids: one column, doc_id."""
-    trusted = target_ids.select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(1))
-    ids = docs.select(F.col(doc_id).alias("_id"), words_of(F.col(text)).alias("_w")).join(trusted, "_id", "left")
-    counts = ngram_counts(ids, {"r": F.lit(1), "t": F.col("_t")}, buckets)
+    trusted = sampled(target_ids.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), most).withColumn("_t", F.lit(1))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(trusted), "_id", "left")
+    counts = ngram_counts(rows, F.col("_text"), {"r": F.lit(1), "t": F.col("_t")}, buckets)
     return smoothed([(c.g, c.r, c.t) for c in counts], buckets, prior)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The labelled documents: _text, good, target (None where not so) and fold. A doc_id's best label counts."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, *, most: int = LABELLED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The labelled documents: _text, good, target (null where not so) and fold. A doc_id's best label counts."""
     good, target = F.col("quality") == 1, (F.col("quality") == 1) & (F.col("toxic") == 0)
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(good, 1)).alias("good"), F.max(F.when(target, 1)).alias("target"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(known, "_id")
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(good, 1)).alias("good"), F.max(F.when(target, 1)).alias("target"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sampled(known, most)), "_id")
     return rows.withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int")).drop("_id")
 
 
 def labelled_ratios(rows: DataFrame, *, buckets: int = BUCKETS, prior: float = 20.0) -> list[list[float]]:
     """Ratios where raw text is the labelled documents alone: of each fold by the other folds, then of all."""
     counted = {f"{c}{k}": F.when(F.col("fold") == k, x) for k in range(FOLDS) for c, x in (("r", F.lit(1)), ("t", F.col("target")))}
-    counts = ngram_counts(rows.withColumn("_w", words_of(F.col("_text"))), counted, buckets)
+    counts = ngram_counts(rows, F.col("_text"), counted, buckets)
     out = []
     for left_out in range(FOLDS + 1):
         used = [k for k in range(FOLDS) if k != left_out]
@@ -84,12 +104,8 @@ def labelled_ratios(rows: DataFrame, *, buckets: int = BUCKETS, prior: float = 2
     return out
 
 
-def log_ratio(words: Column, ratios: list[float]) -> Column:
-    """The sum of the ratios of the n-grams of words_of(text); a word begins two: itself, and the pair with the next or none."""
+def log_ratio(one: Column, two: Column, ratios: list[float]) -> Column:
+    """The sum of the ratios of a text's n-grams: one_hashes of its words, and next_hashes of those."""
     table = F.split(F.lit(",".join(f"{x:.5g}" for x in ratios)), ",").cast("array<double>")
-
-    def add(acc: Column, i: Column) -> Column:
-        one, two = F.get(words, i), F.get(words, i + 1)
-        return acc + F.get(table, bucket(len(ratios), one)) + F.get(table, bucket(len(ratios), one, two))
-
-    return F.aggregate(indexes(words), F.lit(0.0), add)
+    add = lambda acc, g: acc + F.get(table, bucket(g, len(ratios)))
+    return F.aggregate(two, F.aggregate(one, F.lit(0.0), add), add)

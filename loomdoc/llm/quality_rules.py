@@ -14,18 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import staged
-from loomdoc.llm.ngram_model import bind, log_ratio, log_ratios, words_of
+from loomdoc.llm.ngram_model import bind, log_ratio, log_ratios, next_hashes, one_hashes, words_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Set on labelled documents held out of the target at two table sizes: no clean one of them scores lower.
 THRESHOLD = -0.1
 
 
-def repeat_words(words: Column) -> Column:
-    """Words in 8-word windows that stand twice or more."""
-    at = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+def repeat_words(pairs: Column) -> Column:
+    """Words in 8-word windows that stand twice or more. pairs: the hashes of each word with the next."""
+    n_windows = F.greatest(F.size(pairs) - WINDOW + 1, F.lit(0))
 
     def covered(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -41,32 +39,40 @@ def repeat_words(words: Column) -> Column:
         total = F.aggregate(bind(placed, repeated), start, step, lambda a: a["n"])
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(total)
 
-    return bind(hashes, covered)
+    # windows of 2 words make those of 4, and these those of 8
+    windows = bind(pairs, lambda two: bind(next_hashes(two, 2), lambda four: next_hashes(four, 4)))
+    return bind(F.slice(windows, F.lit(1), n_windows), covered)
 
 
-def base_columns(text: Column, words: Column) -> dict[str, Column]:
+def base_columns(text: Column, words: Column, pairs: Column) -> dict[str, Column]:
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.char_length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.char_length(whole) - F.char_length(F.translate(whole, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(words),
+        "n_repeat_words": repeat_words(pairs),
     }
 
 
 def judge(docs: DataFrame, target_ids: DataFrame, *, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept."""
     ratios = log_ratios(docs, target_ids, doc_id=doc_id, text=text)
-    def measured(w: Column) -> Column:
-        columns = {**base_columns(F.col(text), w), "score": log_ratio(w, ratios)}
-        return F.struct(*[c.alias(name) for name, c in columns.items()])
 
-    # written once, so that filters on the results are not pushed below the work
+    def measured(words: Column) -> Column:
+        def with_pairs(one: Column) -> Column:
+            def columns(two: Column) -> Column:
+                found = {**base_columns(F.col(text), words, two), "score": log_ratio(one, two, ratios)}
+                return F.struct(*[c.alias(name) for name, c in found.items()])
+
+            return bind(next_hashes(one), columns)
+
+        return bind(one_hashes(words), with_pairs)
+
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
-    out = docs.withColumn("__m", bind(words_of(F.col(text)), measured))
-    out = staged(out.drop(*names), "judged").withColumns({c: F.col(f"__m.{c}") for c in names}).drop("__m")
+    # generated as rows of one struct: filters on the results are not pushed below the work, so it is done once
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names], F.inline_outer(F.transform(F.array(words_of(F.col(text))), measured)))
     out = out.withColumn("score", F.when(F.col("n_words") > 0, F.col("score") / (2 * F.col("n_words"))).otherwise(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

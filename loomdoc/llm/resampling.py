@@ -16,13 +16,12 @@ no label at all (an empty table, null qualities): all stay. Only bad labels: non
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.common import staged
-from loomdoc.llm.ngram_model import FOLDS, labelled_ratios, labelled_rows, log_ratio, log_ratios, words_of
+from loomdoc.llm.ngram_model import LABELLED, bind, labelled_ratios, labelled_rows, log_ratio, log_ratios, next_hashes, one_hashes, words_of
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -51,13 +50,21 @@ def step(weight: Column) -> Column:
     return F.when(weight < 0, -F.ceil(F.log1p(-weight) * 1000)).otherwise(F.floor(F.log1p(weight) * 1000))
 
 
+def weight(text: Column, tables: list[list[float]], which: Column | None = None) -> Column:
+    """The log importance weight of a text by one of the tables."""
+    def by(one: Column, two: Column) -> Column:
+        sums = [log_ratio(one, two, t) for t in tables]
+        out = sums[-1]
+        for k, x in enumerate(sums[:-1]):
+            out = F.when(which == k, x).otherwise(out)
+        return out
+
+    return bind(one_hashes(words_of(text)), lambda one: bind(next_hashes(one), lambda two: by(one, two)))
+
+
 def fitted_step(rows: DataFrame, ratios: list[list[float]]) -> float:
     """The lowest step from which the share of good labelled documents most exceeds that of bad ones, -inf or inf if all are of one kind."""
-    def scored(k: int) -> DataFrame:
-        words = rows.where(F.col("fold") == k).withColumn("__words", words_of(F.col("_text")))
-        return words.select("good", log_ratio(F.col("__words"), ratios[k]).alias("w"))
-
-    weights = staged(reduce(DataFrame.unionAll, map(scored, range(FOLDS))), "label-weights")
+    weights = rows.select("good", F.inline_outer(F.array(F.struct(weight(F.col("_text"), ratios, F.col("fold")).alias("w")))))
     counts = weights.groupBy(step(F.col("w")).alias("s")).agg(F.count("good").alias("good"), F.count("*").alias("n")).collect()
     goods, total = sum(c.good for c in counts), sum(c.n for c in counts)
     if goods in (0, total):
@@ -70,24 +77,27 @@ def fitted_step(rows: DataFrame, ratios: list[list[float]]) -> float:
     return at
 
 
-def resample(docs: DataFrame, target_ids: DataFrame | None = None, *, share: float | None = None, labels: DataFrame | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame | None = None, *, share: float | None = None, labels: DataFrame | None = None, most: int = LABELLED, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with log_weight, noisy and kept (among the k largest). Either target_ids and share, k = ceil(share * rows), or labels.
 
-    labels: doc_id, quality and toxic; the target is what has quality 1 and toxic 0.
+    labels: doc_id, quality and toxic; the target is what has quality 1 and toxic 0. Weights are staged without texts to
+    find the cut, and made again, the same, beside the rows: no text is moved or written.
     """
     if labels is None:
-        ratios, least = log_ratios(docs, target_ids, doc_id=doc_id, text=text), None
+        ratios, least = log_ratios(docs, target_ids, most=most, doc_id=doc_id, text=text), None
     else:
-        rows = staged(labelled_rows(docs, labels, doc_id=doc_id, text=text), "labelled")
+        rows = labelled_rows(docs, labels, most=most, doc_id=doc_id, text=text)
         *folds, ratios = labelled_ratios(rows)
         least = fitted_step(rows, folds)
-    scored = staged(docs.withColumn("__words", words_of(F.col(text))).withColumn("log_weight", log_ratio(F.col("__words"), ratios)).drop("__words").withColumn("noisy", F.col("log_weight") + gumbel(F.col(doc_id), seed)), "weights")
+    # a generated column: filters on it are not pushed below the work
+    scored = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("log_weight", "noisy", "kept")], F.inline_outer(F.array(F.struct(weight(F.col(text), [ratios]).alias("log_weight")))))
+    scored = scored.withColumn("noisy", F.col("log_weight") + gumbel(F.col(doc_id), seed))
     # 24 bits before and 24 after the binary point: an order-keeping, non-negative integer
-    ordered = scored.withColumn("_key", F.floor((F.col("noisy") + float(1 << 30)) * float(1 << 24)).cast("long"))
+    ordered = F.floor((F.col("noisy") + float(1 << 30)) * float(1 << 24)).cast("long")
+    weights = staged(scored.select("log_weight", ordered.alias("key")), "weights")
     if least is None:
-        k, whole = math.ceil(share * ordered.count()), share >= 1
+        k, whole = math.ceil(share * weights.count()), share >= 1
     else:
-        k, whole = ordered.where(step(F.col("log_weight")) >= F.lit(least)).count(), least == -math.inf
-    cut = kth_largest(ordered.select("_key"), "_key", k) if k and not whole else None
-    kept = F.lit(True) if whole else F.lit(False) if cut is None else F.col("_key") >= cut
-    return ordered.withColumn("kept", kept).drop("_key")
+        k, whole = weights.where(step(F.col("log_weight")) >= F.lit(least)).count(), least == -math.inf
+    cut = kth_largest(weights, "key", k) if k and not whole else None
+    return scored.withColumn("kept", F.lit(True) if whole else F.lit(False) if cut is None else ordered >= cut)

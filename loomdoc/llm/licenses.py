@@ -13,7 +13,9 @@ each row stands for itself, other columns pass through unread.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column
 
@@ -219,6 +221,25 @@ class Detection:
     confidence: float
 
 
+def uncontained(found: list[Detection]) -> list[Detection]:
+    """Of detections by falling priority, those that lie in no accepted one before them.
+
+    Only the widest accepted intervals are looked at. By their starts their ends rise as well, so the last one that starts
+    no later than a detection tells whether any holds it.
+    """
+    accepted: list[Detection] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for d in found:
+        i = bisect_right(starts, d.first)
+        if i and ends[i - 1] >= d.last:
+            continue
+        accepted.append(d)
+        lo, hi = bisect_left(starts, d.first), bisect_right(ends, d.last)
+        starts[lo : max(lo, hi)], ends[lo : max(lo, hi)] = [d.first], [d.last]
+    return accepted
+
+
 class Scanner:
     def __init__(self, table: list[Rule] | None = None):
         self.rules = rules() if table is None else table
@@ -229,9 +250,9 @@ class Scanner:
         self.keys = frozenset(self.by_key)
         self.base = [(b" " + p.encode() + b" ", p.encode().split(), label) for p, label in BASE.items()]
 
-    def detect(self, words: list[bytes], text: bytes, hits: frozenset[bytes]) -> list[Detection]:
-        """Accepted detections; text: the words with a space before and after each."""
-        found = []
+    def detect(self, words: list[bytes], text: bytes, spaces: list[int], hits: frozenset[bytes]) -> list[Detection]:
+        """Accepted detections; text: the words with a space before and after each, spaces: where these stand."""
+        found: list[Detection] = []
         present = None
         for i in sorted({i for k in hits for i in self.by_key[k]}):
             r = self.rules[i]
@@ -240,28 +261,25 @@ class Scanner:
                 if r.also.isdisjoint(present):
                     continue
             for m in r.pattern.finditer(text):
-                first = text.count(b" ", 0, m.start()) - 1
-                found.append(Detection(r.label, first, first + text.count(b" ", m.start(), m.end()), r.priority, r.confidence))
+                first = bisect_left(spaces, m.start()) - 1
+                found.append(Detection(r.label, first, bisect_left(spaces, m.end()) - 1, r.priority, r.confidence))
         found.sort(key=lambda d: (-d.priority, d.first, d.first - d.last, d.label))
-        accepted: list[Detection] = []
-        for d in found:
-            if not any(a.first <= d.first and d.last <= a.last for a in accepted):
-                accepted.append(d)
-        return sorted(accepted, key=lambda d: (d.first, d.last, d.label))
+        return sorted(uncontained(found), key=lambda d: (d.first, d.last, d.label))
 
     def scan(self, text: str) -> tuple:
         words = text.encode().translate(TO_WORDS).split()
         if self.keys.isdisjoint(words):
             return len(words), 0, None, None, "", "", 0.0
         joined = b" " + b" ".join(words) + b" "
+        spaces = [0, *accumulate(len(w) + 1 for w in words)]
         starts, base = [], set()
         for phrase, _, label in self.base:
             at = joined.find(phrase)
             while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+                starts.append(bisect_left(spaces, at))
                 base.add(label)
                 at = joined.find(phrase, at + 1)
-        accepted = self.detect(words, joined, self.keys.intersection(words))
+        accepted = self.detect(words, joined, spaces, self.keys.intersection(words))
         miss = 1.0
         best: dict[str, float] = {}
         for d in accepted:

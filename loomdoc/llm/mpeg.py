@@ -157,11 +157,12 @@ def _vbr(data: bytes, at: int, h: Header, out: Stream) -> bool:
                 out.seek_table = list(data[p : p + 100])
             return True
     place = at + 4 + 32
-    if data[place : place + 4] == b"VBRI":
+    if data[place : place + 4] == b"VBRI" and place + 26 <= at + h.length:
         out.vbr = "VBRI"
         out.vbr_bytes, out.vbr_frames, n, scale, width = struct.unpack(">IIHHH", data[place + 10 : place + 24])
         p = place + 26
-        out.seek_table = [int.from_bytes(data[p + i * width : p + (i + 1) * width], "big") * scale for i in range(n)] if 0 < width <= 4 else []
+        whole = 0 < width <= 4 and p + n * width <= at + h.length
+        out.seek_table = [int.from_bytes(data[p + i * width : p + (i + 1) * width], "big") * scale for i in range(n)] if whole else []
         return True
     return False
 
@@ -212,7 +213,7 @@ def read_stream(data: bytes) -> Stream:
     out.skipped += max(0, end - at)
     joined = b"".join(parts)
     n = out.tags.get("TXXX:payload_bytes", "")
-    out.payload = joined[: int(n)] if n.isdigit() else joined
+    out.payload = joined[: int(n)] if n.isascii() and n.isdigit() and len(n) < 20 else joined
     return out
 
 
@@ -276,13 +277,14 @@ def media_struct(text: Column) -> Column:
 
 
 def digest_struct(text: Column) -> Column:
-    """A struct column: the digests of each text's stored form and of the payload read back from it."""
+    """A struct column: the digests of each text's stored form and of the payload read back from it, its exact duration
+    (samples at a rate) and the byte offset of every frame."""
 
     def run(text: str):
         raw = text.encode()
         media = write_stream(padded(raw))
         s = read_stream(media)
         back = s.payload
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), describe(s)
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), describe(s), s.samples, s.headers[0].rate, s.offsets
 
-    return per_text(text, lambda: run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return per_text(text, lambda: run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, rate int, frame_offsets array<long>")

@@ -103,6 +103,9 @@ def load_pieces(path: str) -> list[tuple[str, float]]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(sp.get_piece_size())
+    probe = "\uff21\u00e9 \ufb01  x\tA\u030a\n\u00bd "
+    if sp.normalize(probe) != META + probe.replace(" ", META) or sum(map(sp.is_byte, ids)) != 256:
+        raise ValueError("the model must leave texts as they are, put a word mark before them and fall back to bytes")
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
 
 

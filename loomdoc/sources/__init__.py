@@ -1 +1 @@
-
+"""Files and folders as records."""

@@ -1 +1 @@
-
+"""Newline-delimited records as a stream."""

@@ -39,8 +39,8 @@ def text_queries(spark: SparkSession, sf: str, folder: str) -> dict:
         "loads": lambda: texts.select(exact.statuses(F.col("json"))),
         "dumps": lambda: texts.select(exact.canonical(F.col("json"))),
         "load_ndjson": lambda: records(spark, lines, size=1 << 21),
-        "search_totals": lambda: exact.search(spark, lines, "$[*].orders[*].total"),
-        "search_recursive": lambda: exact.search(spark, lines, "$[*]..total"),
+        "search_totals": lambda: exact.search(spark, lines, "$[*].orders[*].total", errors="raise"),
+        "search_recursive": lambda: exact.search(spark, lines, "$[*]..total", errors="raise"),
     }
     return found | {"dump_split": lambda: write_split(texts, f"{folder}/split", "part", order="id")}
 

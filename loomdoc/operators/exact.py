@@ -123,7 +123,7 @@ def float_texts(x: Column) -> Column:
 FOUND = "file_ord long, pos long, match_ord long, path string, kind string, value string, status string"
 
 
-def search(spark: SparkSession, path: str, expression: str | CompiledPath, *, policy: str = "first", parse_types: Any = False) -> DataFrame:
+def search(spark: SparkSession, path: str, expression: str | CompiledPath, *, policy: str = "first", parse_types: Any = False, errors: str = "check") -> DataFrame:
     """Matches in a file or in a folder's files: file_ord, pos, match_ord (their order), path, kind, value (JSON text).
 
     A newline-delimited file is one root, the list of its records. Where the first step takes every record, ranges of the
@@ -178,4 +178,4 @@ def search(spark: SparkSession, path: str, expression: str | CompiledPath, *, po
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     table = path_table(spark, path) if apart else path_table(spark, path, 1 << 62)
-    return checked(table.mapInArrow(run, FOUND))
+    return checked(table.mapInArrow(run, FOUND), errors)

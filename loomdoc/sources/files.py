@@ -19,7 +19,7 @@ from loomdoc.functions.serialize import tree_text
 
 LINES = (".ndjson", ".jsonl")
 SUFFIXES = (".json", *LINES)
-RANGE = 1 << 26
+RANGE = 1 << 23
 MESSAGES = {"invalid": INVALID, "too deep": TOO_DEEP, "empty": "Empty file"}
 
 
@@ -140,18 +140,23 @@ def message(path: str, pos: int, status: str) -> str:
     return f"{MESSAGES[status]} on line {line}"
 
 
-def checked(table: DataFrame, *, skip_errors: bool = False) -> DataFrame:
-    """The good rows; raises for the first bad one in order unless errors are skipped."""
-    if not skip_errors:
+def checked(table: DataFrame, errors: str = "check") -> DataFrame:
+    """The good rows. errors: check (a pass of its own raises ValueError for the first bad row in order, with its line's
+    number), raise (one pass, which Spark ends at a bad row with its path and place), or skip."""
+    if errors == "check":
         bad = table.where("status != 'ok'").select(F.struct("file_ord", "pos", "path", "status").alias("b")).agg(F.min("b").alias("b")).first()["b"]
         if bad is not None:
             raise ValueError(message(bad["path"], bad["pos"], bad["status"]))
+    elif errors == "raise":
+        texts = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+        text = F.concat(F.element_at(texts, F.col("status")), F.lit(": "), F.col("path"), F.lit(" at "), F.col("pos").cast("string"))
+        table = table.withColumn("status", F.when(F.col("status") == "ok", F.col("status")).otherwise(F.raise_error(text)))
     return table.where("status = 'ok'").drop("status")
 
 
-def load_records(spark: SparkSession, path: str, *, skip_errors: bool = False, policy: str = "first") -> DataFrame:
+def load_records(spark: SparkSession, path: str, *, errors: str = "check", policy: str = "first") -> DataFrame:
     """A folder's files one after the other, or a file's records, as rows (file_ord, pos, path, json)."""
     if not os.path.exists(path):
         raise FileNotFoundError(path)
-    return checked(records(spark, path, policy=policy), skip_errors=skip_errors)
+    return checked(records(spark, path, policy=policy), errors)
 

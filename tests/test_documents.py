@@ -246,12 +246,14 @@ def test_errors(spark, tmp_path):
     write(tmp_path / "c.ndjson", '{"i":3}\n\nbad\n{"i":5}\n' + "[" * 1025)
     write(tmp_path / "d.json", "")
     assert loomdoc.load(tmp_path, skip_errors=True) == [{"i": 1}, {"i": 3}, {"i": 5}]
-    assert [json.loads(r.json)["i"] for r in load_records(spark, str(tmp_path), skip_errors=True).orderBy("file_ord", "pos").collect()] == [1, 3, 5]
+    assert [json.loads(r.json)["i"] for r in load_records(spark, str(tmp_path), errors="skip").orderBy("file_ord", "pos").collect()] == [1, 3, 5]
     for path, what in (("", "^Invalid JSON$"), ("c.ndjson", "^Invalid JSON on line 3$"), ("d.json", "^Empty file$")):
         with pytest.raises(ValueError, match=what):
             loomdoc.load(tmp_path / path)
         with pytest.raises(ValueError, match=what):
             load_records(spark, str(tmp_path / path))
+    with pytest.raises(Exception, match="Invalid JSON: .*c.ndjson at 9"):
+        load_records(spark, str(tmp_path / "c.ndjson"), errors="raise").collect()
     write(tmp_path / "e.jsonl", "1\n" + "[" * 1025)
     with pytest.raises(ValueError, match="^Maximum nesting depth exceeded on line 2$"):
         loomdoc.load(tmp_path / "e.jsonl")

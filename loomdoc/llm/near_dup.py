@@ -4,10 +4,11 @@ sigma and pi are bijections of the 64-bit integers. Coordinate k of a signature
 pi(sigma(x) + k mod 2**64): pi circularly shifted by k, so the two permutations give all coordinates.
 
 Documents with equal shingle sets form one class and their smallest doc_id stands for it. Classes that share a band are
-candidates. In each bucket every class is first compared with one hub, the class whose buckets are fullest (an aggregate,
-so a bucket of any size is handled without gathering it), and the components found are merged. Classes in buckets that
-this leaves in several components are joined exactly: two sets alike enough share one of their rarest shingles, at places
-that their sizes bound, so unlike texts that share bands do not meet. A link inside a component that is already connected
+candidates. In each bucket every class is compared with one hub, the class whose buckets are fullest (an aggregate, so a
+bucket of any size is handled without gathering it), and the components found are merged; what is left is compared with
+the next hub, three times. Classes in buckets whose rest still lies in several components are joined exactly: two sets alike enough share one of their rarest shingles, at places
+that their sizes bound, so unlike texts that share bands do not meet. Pairs with fewer equal coordinates than five and a
+half deviations below the threshold's mean are not compared in full (a chance below 1e-7 for a link). A link inside a component that is already connected
 changes no result and is not looked for.
 
 Cases. Null or empty text, or no words: an empty set, linked with nothing, its own component. Fewer words than a shingle:
@@ -26,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from loomdoc.llm.common import staged
+from loomdoc.llm.common import release, staged
 from loomdoc.llm.components import components
-from loomdoc.llm.set_join import rare_pairs
+from loomdoc.llm.set_join import hub_links, rare_pairs
 
 BANDS, ROWS = 20, 5
 UP = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -84,7 +85,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> list[int]:
 def _hashed(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
+            ids, texts, digests = batch.columns
             for lo in range(0, len(ids), 512):
                 cols: list[list] = [[], [], [], []]
                 seen: dict[bytes, tuple] = {}
@@ -98,7 +99,7 @@ def _hashed(size: int):
                     for c, x in zip(cols, (len(s), key, *seen[key]), strict=True):
                         c.append(x)
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "key", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], digests[lo : lo + 512], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "digest", "n", "key", "sig", "bands"])
 
     return run
 
@@ -125,20 +126,22 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pa.array(out, pa.bool_())
 
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = staged(read.mapInArrow(_hashed(size), "doc_id long, n long, key binary, sig binary, bands array<long>"), "shingles")
-    # a class for each shingle set, its node number is a hash of the key's 16 bytes
-    node = F.xxhash64("key")
-    classes = staged(table.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")).select("key", "rep", node.alias("node")), "classes")
-    heads = table.where("n > 0").join(classes, "key").where("doc_id <=> rep")
-    sets = staged(heads.select("node", "n", "sig", "bands"), "class-sets")
-    buckets = sets.select("node", "n", F.explode("bands").alias("bucket")).distinct()
+    # the digest tells rows of one doc_id apart, so that a doc_id with many texts joins row by row
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"))
+    kind = StructType([read.schema["doc_id"]]).simpleString()[7:-1]
+    table = staged(read.mapInArrow(_hashed(size), f"{kind}, digest long, n long, key binary, sig binary, bands array<long>"), "shingles")
+    # a class for each shingle set (by 128 bits); its node is a number given when the table is written, so it is unique
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("head")
+    sets = table.where("n > 0").groupBy("key").agg(head, *[F.first(c).alias(c) for c in ("n", "sig", "bands")])
+    sets = staged(sets.select("key", F.monotonically_increasing_id().alias("node"), F.col("head.doc_id").alias("rep"), F.col("head.digest").alias("digest"), "n", "sig", "bands"), "class-sets")
+    classes = sets.select("key", "node", "rep", "digest")
+    buckets = sets.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     many = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     shared = staged(buckets.join(many, "bucket"), "buckets")
-    degrees = shared.groupBy("node").agg(F.sum("c").alias("degree"))
-    left = staged(shared.drop("c").join(degrees, "node"), "degrees")
-    bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    ends = [sets.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    degrees = staged(shared.groupBy("node").agg(F.sum("c").alias("degree")), "degrees")
+    left = staged(shared.drop("c").join(degrees, "node"), "shared-buckets")
+    release(shared)
+    signs = staged(sets.join(degrees, "node", "left_semi").select("node", "n", "sig"), "candidate-signatures")
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,38 +151,38 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id
                 same = pa.array([xxhash.xxh3_128_digest(r) == k.as_py() for r, k in zip(raws, keys, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([nodes, pa.array(raws, pa.binary())], ["node", "hashes"]).filter(same)
 
-    def full_sets(pairs: DataFrame) -> DataFrame:
-        """The sets of the classes in pairs, made again from the whole texts: not all sets are ever stored."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = classes.join(nodes, "node").select("node", "key", F.col("rep").alias("_rep"))
-        texts = read.join(need, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "key", "text")
-        return staged(texts.mapInArrow(whole, "node long, hashes binary"), "full-sets")
+    # the whole sets of the candidates alone, made again from the texts: not all sets are ever stored
+    need = classes.join(degrees, "node", "left_semi").select("node", "key", "rep", F.col("digest").alias("own"))
+    texts = read.join(need, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("own"))).select("node", "key", "text")
+    wholes = staged(texts.mapInArrow(whole, "node long, hashes binary").dropDuplicates(["node"]), "full-sets")
+    release(degrees)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        found = pairs.where(bound).select("a", "b").distinct()
-        found = staged(found.join(ends[0], "a").join(ends[1], "b").where(alike("sa", "sb")).select("a", "b"), "alike").distinct()
-        wholes = full_sets(found)
+        one, two = [signs.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
+        bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+        near = staged(pairs.join(one, "a").join(two, "b").where(bound).where(alike("sa", "sb")).select("a", "b"), "alike")
         ha, hb = [wholes.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab"]
-        return staged(found.join(ha, "a").join(hb, "b").where(linked("ha", "hb")).select("a", "b").distinct(), "linked")
-
-    def ends_of(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    hubs = left.groupBy("bucket").agg(F.max(F.struct("degree", F.col("node").alias("hub"), F.col("n").alias("nb"))).alias("h")).select("bucket", "h.hub", "h.nb")
-    links = verified(left.join(hubs, "bucket").where("node != hub").select(*ends_of("node", "hub"), F.col("n").alias("na"), "nb"))
-    found = staged(components(links), "components")
-    now = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    rest = staged(now.join(open_, "bucket").select("node", "n", "component").distinct(), "open-classes")
-    sizes = rest.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    tokens = full_sets(sizes).join(rest, "node").select("node", "n", "component", F.explode(hash_list("hashes")).alias("h"))
-    met = rare_pairs(staged(tokens, "open-shingles"), percent)
-    links = links.union(verified(met.select(*ends_of("a", "b"), "na", "nb")))
-    found = staged(components(links), "components")
-    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = staged(near.join(ha, "a").join(hb, "b").where(linked("ha", "hb")).select("a", "b"), "linked")
+        release(near)
+        return found
+
+    links, found, rest = hub_links(left, verified)
+    release(left)
+    if not rest.isEmpty():
+        own = signs.select("node", "n").join(rest.select("node", "component").distinct(), "node")
+        tokens = staged(wholes.join(own, "node").select("node", "n", "component", F.explode_outer(hash_list("hashes")).alias("h")), "open-shingles")
+        holds: list[DataFrame] = []
+        more = verified(rare_pairs(tokens, percent, holds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        release(tokens, found, *holds)
+        found = components(links.union(more))
+        release(more)
+    release(links, rest, signs, wholes)
     # only components of several classes need a smallest id; the others have their class's
-    several = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = named.join(several, "component").select("key", "component_id")
+    joined = classes.join(found, "node")
+    several = joined.join(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("key", "component_id")
+    several = staged(several, "component-ids")
+    ids = classes.join(several, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     full = table.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "key").join(ids, "key").drop("key")
     empty = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    release(found)
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,4 +1,4 @@
-"""An exact join of alike sets that lie in different components, with DataFrame functions alone.
+"""Links of alike sets from buckets: by hubs, and an exact join of what hubs leave, with DataFrame functions alone.
 
 Cases. Empty table: no rows. Equal sets in different components: a pair. A set that shares no token: no pair. Ties in
 rarity: by the token. Pairs may come twice.
@@ -11,10 +11,41 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import staged
+from loomdoc.llm.common import release, staged
+from loomdoc.llm.components import components
 
+ROUNDS = 3
 
-def rare_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+
+def hub_links(shared: DataFrame, verified, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, components, rest) of shared (bucket, node, degree), where nodes of a bucket are candidates for a link.
+
+    In each round every node of a bucket is compared with the bucket's hub, the node of the largest degree, by
+    verified(pairs of (a, b), a < b), which gives a staged table; then the hub leaves the bucket, and so does the bucket whose nodes all lie in one
+    component. A hub is an aggregate with partial sums, so a bucket of any size is handled without gathering it. rest is
+    what still lies in several components, (bucket, node, degree, component): no pair of it has been compared. All staged.
+    """
+    rest = shared.withColumn("component", F.col("node"))
+    held, links, found = None, None, None
+    for _ in range(rounds):
+        hub = F.max(F.struct("degree", F.col("node").alias("hub"), F.col("component").alias("of")))
+        hubs = rest.groupBy("bucket").agg(hub.alias("h")).select("bucket", "h.hub", "h.of")
+        pairs = rest.join(hubs, "bucket").where("component != of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        more = verified(pairs)
+        links, old = (more, None) if links is None else (staged(links.union(more), "links"), links)
+        new = components(links)
+        others = rest.join(hubs, "bucket").where("node != hub").select("bucket", "node", "degree")
+        now = others.join(new, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+        rest = staged(now.join(several, "bucket").select("bucket", "node", "degree", "component"), "open")
+        release(*[x for x in (held, found, old, more if old is not None else None) if x is not None])
+        held, found = rest, new
+        if rest.isEmpty():
+            break
+    return links, found, rest
+
+
+def rare_pairs(tokens: DataFrame, percent: int, holds: list | None = None) -> DataFrame:
     """Pairs (a, na, b, nb) of sets in different components that hold all with a Jaccard similarity of percent or more.
 
     tokens: node, n (its number of tokens), component, h. Every set is ordered from the rarest token on. With t = percent
@@ -31,6 +62,8 @@ def rare_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     size_class = lambda x: F.floor(F.log(x) / math.log(1.02) + near)
     need = lambda x, y: t / (1 + t) * (x + y)
     placed = staged(common.select("node", "n", "component", "h", "back").where(left >= need(F.col("n"), t * F.col("n")) - near), "rare-shingles")
+    if holds is not None:
+        holds.append(placed)
     small = placed.where(left >= need(F.col("n"), F.col("n")) - near).withColumn("class", size_class(F.col("n")))
     most = F.least(left * (1 + t) / t - F.col("n"), F.col("n").cast("double"))
     large = placed.withColumn("class", F.explode(F.sequence(size_class(t * F.col("n") - near), size_class(most + near))))

@@ -63,8 +63,10 @@ def ngram_counts(rows: DataFrame, text: Column, counted: dict[str, Column], buck
     """For each bucket g, how many n-grams of text each column of counted is not null for."""
     one, two = fresh(rows, "one"), fresh(rows, "two")
     hashed = rows.select(*[c.alias(name) for name, c in counted.items()], one_hashes(words_of(text)).alias(one)).withColumn(two, next_hashes(F.col(one)))
-    grams = hashed.select(*counted, F.explode(F.concat(one, two)).alias("g"))
-    return grams.groupBy(bucket(F.col("g"), buckets).alias("g")).agg(*[F.count(name).alias(name) for name in counted]).collect()
+    # outer: a plain explode would hash every text once more to filter empty lists
+    grams = hashed.select(*counted, F.explode_outer(F.concat(one, two)).alias("g"))
+    counts = grams.groupBy(bucket(F.col("g"), buckets).alias("g")).agg(*[F.count(name).alias(name) for name in counted])
+    return [c for c in counts.collect() if c.g is not None]
 
 
 def smoothed(counts: list[tuple[int, int, int]], buckets: int, prior: float) -> list[float]:

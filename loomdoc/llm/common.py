@@ -52,9 +52,14 @@ def release(*tables: DataFrame) -> None:
         if path:
             at = sc._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of jobs that have ended: it learns of them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -15,7 +15,8 @@ TEXT = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi
 
 def test_gradients():
     p, rng = lm.unpacked(lm.start()), np.random.default_rng(1)
-    xs, ys, h = rng.integers(0, 4096, (3, 4)), rng.integers(0, 4096, (3, 4)), rng.normal(size=(4, lm.HIDDEN))
+    xs, ys, h = rng.integers(0, lm.SLOTS, (3, 4)), rng.integers(0, lm.SLOTS, (3, 4)), rng.normal(size=(4, lm.HIDDEN))
+    xs[1, 2] = 0  # an end
     g = lm.gradients(p, h, xs, ys)[0]
     for k in lm.SHAPES:
         i = np.unravel_index(np.argmax(abs(g[k])), g[k].shape)
@@ -27,19 +28,64 @@ def test_gradients():
         assert math.isclose(g[k][i], (ends[0] - ends[1]) / 2e-5, rel_tol=1e-4)
 
 
-def test_base_scores(spark):
-    rows = [(i, f"the Cat {i} sat" if i % 3 else None) for i in range(20)]
-    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def test_lm_scores(spark):
+    """All columns by plain code, token by token; the same however the table is split, with many shards and a small table of frequent words."""
     import zlib
 
-    words = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), lm.END] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
-    c = Counter(w for i in words if not held[i] for w in words[i])
+    spaces = [" ", "\n", "\t ", "  "]
+    rows = [(i, None if i % 9 == 8 else spaces[i % 4] * (i % 5 == 4) + f"the Cat {i % 13} sat{spaces[i % 4]}on mat {i} \u00c9 the" * (i % 6)) for i in range(120)] + [(3, "the twin"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 as row", "2 as slots", "3 as w")
+    options = {"shard": 200, "top": 12}
+    out = lm.score_documents(docs.repartition(2), **options)
+    assert out.schema["doc_id"].dataType.simpleString() == "int"
+    got = sorted(map(tuple, out.collect()), key=str)
+    again = sorted(map(tuple, lm.score_documents(docs.repartition(7), **options).collect()), key=str)
+    for x, y in zip(got, again, strict=True):
+        assert x[:5] == y[:5] and math.isclose(x[5], y[5], rel_tol=1e-9) and math.isclose(x[6], y[6], rel_tol=1e-6)
+
+    words = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), lm.END]) for i, t in rows]
+    held = [None if i is None else zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in words]
+    c = Counter(w for (_, ws), h in zip(words, held, strict=True) if h is False for w in ws)
     n, v = sum(c.values()), len(c)
-    for i, w in words.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in c for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+    want = sorted([(i, h, len(ws), sum(x in c for x in ws), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in ws)) for (i, ws), h in zip(words, held, strict=True)], key=str)
+    for x, y in zip(got, want, strict=True):
+        assert x[:5] == y[:5] and math.isclose(x[5], y[5], rel_tol=1e-9)
+
+
+def test_lm_network():
+    """Scores of whole documents by a plain loop over tokens; probabilities of all slots add up to 1."""
+    rng = np.random.default_rng(2)
+    p = lm.unpacked(rng.normal(0, 0.5, lm.SIZE))
+    docs = [np.append(rng.integers(1, lm.SLOTS, n), 0) for n in (0, 3, 40, 1, 17)]
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    softmax = lambda a: np.exp(a) / np.exp(a).sum()
+    for doc, got in zip(docs, lm.network_scores(p, docs), strict=True):
+        h, score = np.zeros(lm.HIDDEN), 0.0
+        for y in doc:
+            score += math.log10(softmax(h @ p["C"] + p["c"])[y // lm.MEMBERS] * softmax(h @ p["M"][y // lm.MEMBERS] + p["m"][y // lm.MEMBERS])[y % lm.MEMBERS])
+            a, u, k = p["E"][y], h @ p["U"], lm.HIDDEN
+            z, r = sigmoid(a[:k] + u[:k]), sigmoid(a[k : 2 * k] + u[k : 2 * k])
+            new = np.tanh(a[2 * k :] + r * u[2 * k :])
+            h = ((1 - z) * new + z * h) * (y != 0)
+        assert math.isclose(got, score, rel_tol=1e-9)
+    every = lm.log_probabilities(p, np.tile(rng.normal(size=lm.HIDDEN), (lm.SLOTS, 1)), np.arange(lm.SLOTS))
+    assert math.isclose(np.exp(every).sum(), 1)
+
+
+def test_lm_beats_base(spark):
+    """Held-out text of sf0.01 gets a higher probability than by the base."""
+    out = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg({"base_score": "sum", "score": "sum"}).first()
+    assert out["sum(score)"] > out["sum(base_score)"] + 1000
+
+
+def test_lm_edges(spark):
+    docs = spark.createDataFrame([(5, "a"), (5, None), (5, "")], "doc_id long, text string")
+    assert lm.score_documents(docs.limit(0)).collect() == []
+    import zlib
+
+    only = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    got = lm.score_documents(spark.createDataFrame([(i, "a b") for i in only], "doc_id long, text string")).collect()
+    assert all((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and r.score < 0 for r in got) and len(got) == 3
 
 
 def test_quality_rules(spark):

@@ -246,7 +246,7 @@ def counted(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[
             codes, n = coded.indices.to_numpy(), len(coded.dictionary)
             words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.string())])
             c, t = np.bincount(codes[np.repeat(use, counts)], minlength=n), np.bincount(codes, minlength=n)
-            tables.append(pa.table({"w": words, "c": pa.array([*c, use.sum()], pa.int64()), "t": pa.array([*t, len(part)], pa.int64())}))
+            tables.append(pa.table({"w": words, "c": pa.array(np.append(c, use.sum()).astype(np.int64)), "t": pa.array(np.append(t, len(part)).astype(np.int64))}))
         if sum(map(len, tables)) > most:
             tables = [merged()]
             if len(tables[0]) > most // 2:
@@ -354,7 +354,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         def task(batches: Iterator[pa.RecordBatch], begin: np.ndarray = passed) -> np.ndarray:
             return train(((s, x.as_py()) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1), strict=True)), begin)
 
-        sums_ = summed_vectors(part.select("shard", "slots"), task, SIZE + 1)
+        sums_ = summed_vectors(part.select("shard", "slots"), task, SIZE + 1, max(8, min(64, shards)))
         begin = sums_[:-1] / sums_[-1] if sums_[-1] else begin
         sweep(spark)
     shared = spark.sparkContext.broadcast(begin.astype(np.float32))
@@ -362,9 +362,9 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = unpacked(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                net = network_scores(p, [np.frombuffer(x.as_py(), dtype="<u2").astype(np.int64) for x in part.column("slots")])
+            for lo in range(0, batch.num_rows, 8192):
+                part = batch.slice(lo, 8192)
+                net = network_scores(p, [np.frombuffer(x.as_py(), dtype="<u2").astype(np.int32) for x in part.column("slots")])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(net)], [*part.schema.names[:-1], "net"])
 
     columns = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "shares"]

@@ -113,13 +113,13 @@ def text(template: str) -> Callable[[], Column]:
 
 
 def found_sql(*values: tuple[str, str], table: str = "events", key: str = "event_id") -> str:
-    parts = [f"select {key}, {i} as match_ord, {kind} as kind, {value} as value from {table}" for i, (kind, value) in enumerate(values)]
+    parts = [f"select {key}, cast({i} as bigint) as match_ord, {kind} as kind, {value} as value from {table}" for i, (kind, value) in enumerate(values)]
     return " union all ".join(parts)
 
 
 ID = "cast(event_id as varchar)"
 TEXTS = {
-    "path_field_text": (events_text(lambda: F.col("props"), "$.k"), "select event_id, 0 as match_ord, 'number' as kind, json_extract_string(props, '$.k') as value from events where json_extract(props, '$.k') is not null"),
+    "path_field_text": (events_text(lambda: F.col("props"), "$.k"), "select event_id, cast(0 as bigint) as match_ord, 'number' as kind, json_extract_string(props, '$.k') as value from events where json_extract(props, '$.k') is not null"),
     "dup_key_first": (events_text(text('{"a":#,"b":0,"a":"x"}'), "$.a"), found_sql(("'number'", ID))),
     "dup_key_last": (events_text(text('{"a":#,"b":0,"a":"x"}'), "$.*", policy="last"), found_sql(("'string'", "'\"x\"'"), ("'number'", "'0'"))),
     "bigint_exact": (events_text(text('[9#00000000000000000000000000000000000000000007]'), "$[0]"), found_sql(("'number'", f"'9' || {ID} || '00000000000000000000000000000000000000000007'"))),
@@ -213,13 +213,13 @@ H = "md5(cast(o_orderkey as varchar))"
 OTHERS = {
     "strict_validate": (strict_validate, "select event_id, case when event_id % 16 in (0, 7, 14) then 'ok' else 'invalid' end as status from events"),
     "depth_cap": (depth_cap, "select event_id, case when event_id % 4 < 2 then 'ok' else 'too deep' end as status from events"),
-    "root_iter_object": (root_iter_object, f"select event_id, 0 as ord, 'id' as key, 'number' as kind, {ID} as value from events union all select event_id, 1, 'a', 'array', '[1]' from events union all select event_id, 2, 'props', 'object', replace(props, ' ', '') from events"),
+    "root_iter_object": (root_iter_object, f"select event_id, cast(0 as bigint) as ord, 'id' as key, 'number' as kind, {ID} as value from events union all select event_id, 1, 'a', 'array', '[1]' from events union all select event_id, 2, 'props', 'object', replace(props, ' ', '') from events"),
     "root_iter_array": (root_iter_array, "select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ord, cast(o_orderkey as varchar) as value from orders"),
     "doc_serialize_ints_strings": (doc_serialize_ints_strings, f"select c_custkey, {CUSTOMER} as text from customer"),
     "float_repr_text": (float_repr_text, "select c_custkey, cast(c_acctbal as varchar) as text from customer"),
     "split_group_counts": (split_group_counts, "select c_mktsegment || '/' || c_nationkey || '/' || (c_acctbal > 5000) as \"group\", count(*) as n from customer group by 1"),
     "folder_union_all": (folder_union_all, f"{FILES}select file_ord, pos, {CUSTOMER} as json from g"),
-    "folder_search": (folder_search, f"{FILES}select file_ord, 0 as match_ord, cast(c_custkey as varchar) as value from g where pos = n - 1"),
+    "folder_search": (folder_search, f"{FILES}select file_ord, cast(0 as bigint) as match_ord, cast(c_custkey as varchar) as value from g where pos = n - 1"),
     "revive_date": (revive(lambda: F.date_format("o_orderdate", "yyyy-MM-dd")), "select o_orderkey, 'date' as kind, strftime(o_orderdate, '%Y-%m-%d') as value from orders"),
     "revive_datetime": (revive(lambda: F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("t10:20:30.5z"))), "select o_orderkey, 'datetime' as kind, strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30.500000+00:00' as value from orders"),
     "revive_uuid": (revive(_uuid), f"select o_orderkey, 'UUID' as kind, substr({H}, 1, 8) || '-' || substr({H}, 9, 4) || '-' || substr({H}, 13, 4) || '-' || substr({H}, 17, 4) || '-' || substr({H}, 21, 12) as value from orders"),

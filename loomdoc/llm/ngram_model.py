@@ -106,8 +106,16 @@ def labelled_ratios(rows: DataFrame, *, buckets: int = BUCKETS, prior: float = 2
     return out
 
 
-def log_ratio(one: Column, two: Column, ratios: list[float]) -> Column:
-    """The sum of the ratios of a text's n-grams: one_hashes of its words, and next_hashes of those."""
-    table = F.split(F.lit(",".join(f"{x:.5g}" for x in ratios)), ",").cast("array<double>")
-    add = lambda acc, g: acc + F.get(table, bucket(g, len(ratios)))
-    return F.aggregate(two, F.aggregate(one, F.lit(0.0), add), add)
+def table_of(ratios: list[float]) -> Column:
+    """The ratios as one constant array."""
+    return F.split(F.lit(",".join(f"{x:.5g}" for x in ratios)), ",").cast("array<double>")
+
+
+def log_ratio(one: Column, two: Column, table: Column, buckets: int = BUCKETS) -> Column:
+    """The sum of the ratios of a text's n-grams: one_hashes of its words, and next_hashes of those. The table, which is
+    large, stands in the plan once."""
+    def summed(t: Column) -> Column:
+        add = lambda acc, g: acc + F.get(t, bucket(g, buckets))
+        return F.aggregate(two, F.aggregate(one, F.lit(0.0), add), add)
+
+    return bind(table, summed)

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.ngram_model import bind, log_ratio, log_ratios, next_hashes, one_hashes, words_of
+from loomdoc.llm.common import sweep
+from loomdoc.llm.ngram_model import bind, log_ratio, log_ratios, next_hashes, one_hashes, table_of, words_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Set on labelled documents held out of the target at two table sizes: no clean one of them scores lower.
@@ -58,12 +59,13 @@ def base_columns(text: Column, words: Column, pairs: Column) -> dict[str, Column
 
 def judge(docs: DataFrame, target_ids: DataFrame, *, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept."""
-    ratios = log_ratios(docs, target_ids, doc_id=doc_id, text=text)
+    table = table_of(log_ratios(docs, target_ids, doc_id=doc_id, text=text))
+    sweep(docs.sparkSession)
 
     def measured(words: Column) -> Column:
         def with_pairs(one: Column) -> Column:
             def columns(two: Column) -> Column:
-                found = {**base_columns(F.col(text), words, two), "score": log_ratio(one, two, ratios)}
+                found = {**base_columns(F.col(text), words, two), "score": log_ratio(one, two, table)}
                 return F.struct(*[c.alias(name) for name, c in found.items()])
 
             return bind(next_hashes(one), columns)

@@ -20,8 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import staged
-from loomdoc.llm.ngram_model import LABELLED, bind, labelled_ratios, labelled_rows, log_ratio, log_ratios, next_hashes, one_hashes, words_of
+from loomdoc.llm.common import release, staged, sweep
+from loomdoc.llm.ngram_model import LABELLED, bind, labelled_ratios, labelled_rows, log_ratio, log_ratios, next_hashes, one_hashes, table_of, words_of
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -52,14 +52,10 @@ def step(weight: Column) -> Column:
 
 def weight(text: Column, tables: list[list[float]], which: Column | None = None) -> Column:
     """The log importance weight of a text by one of the tables."""
-    def by(one: Column, two: Column) -> Column:
-        sums = [log_ratio(one, two, t) for t in tables]
-        out = sums[-1]
-        for k, x in enumerate(sums[:-1]):
-            out = F.when(which == k, x).otherwise(out)
-        return out
-
-    return bind(one_hashes(words_of(text)), lambda one: bind(next_hashes(one), lambda two: by(one, two)))
+    table = table_of(tables[-1])
+    for k, t in enumerate(tables[:-1]):
+        table = F.when(which == k, table_of(t)).otherwise(table)
+    return bind(one_hashes(words_of(text)), lambda one: bind(next_hashes(one), lambda two: log_ratio(one, two, table)))
 
 
 def fitted_step(rows: DataFrame, ratios: list[list[float]]) -> float:
@@ -88,7 +84,9 @@ def resample(docs: DataFrame, target_ids: DataFrame | None = None, *, share: flo
     else:
         rows = labelled_rows(docs, labels, most=most, doc_id=doc_id, text=text)
         *folds, ratios = labelled_ratios(rows)
+        sweep(docs.sparkSession)
         least = fitted_step(rows, folds)
+    sweep(docs.sparkSession)
     # a generated column: filters on it are not pushed below the work
     scored = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("log_weight", "noisy", "kept")], F.inline_outer(F.array(F.struct(weight(F.col(text), [ratios]).alias("log_weight")))))
     scored = scored.withColumn("noisy", F.col("log_weight") + gumbel(F.col(doc_id), seed))
@@ -100,4 +98,5 @@ def resample(docs: DataFrame, target_ids: DataFrame | None = None, *, share: flo
     else:
         k, whole = weights.where(step(F.col("log_weight")) >= F.lit(least)).count(), least == -math.inf
     cut = kth_largest(weights, "key", k) if k and not whole else None
+    release(weights)
     return scored.withColumn("kept", F.lit(True) if whole else F.lit(False) if cut is None else ordered >= cut)

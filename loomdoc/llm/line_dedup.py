@@ -4,14 +4,14 @@ DataFrame functions alone. A line with a word is the set of its 8-character shin
 lines are alike with a Jaccard similarity of at least 80 in 100 over these full sets, and of each component of alike lines
 the first stays, by doc_id and line number.
 
-Equal lines form one class at once. A class is signed by a sample of its shingles that the shingles themselves decide:
-those that follow a space, about one in six; lines with fewer than LOW such shingles are signed by all of theirs, and those
-between LOW and HIGH by both, so that alike lines meet at one of the two. The 12 bands of 4 coordinates give a pair whose
-signed sets have similarity 0.8 a chance of 0.9982 to meet in some bucket (0.9: all but 1e-5). In each bucket every class is
-compared with one hub, the class whose buckets are fullest, then what is left with the next one, three times; classes in
-buckets whose rest still lies in several components are joined exactly by their rarest shingles. Before the exact comparison, pairs whose spaced shingles are less than half alike
-go, as far as both have HIGH of them. Texts are moved three times, never signatures of single shingles: to meet their
-equals, to leave classes without a candidate behind, and to lose their lines.
+Equal lines form one class at once. A class is signed by all its shingles: a shingle's hash puts it in one of 8 groups, and 12
+orders of a group's shingles give it 3 bands of 4 coordinates, so a class has up to 24 buckets, and groups have their own
+shingles. A pair at 0.80 misses all buckets with a chance of some 3e-6 (simulated: 6 of 100,000 for pairs with 5 shingles,
+none of 100,000 for 6 to 40 each, none of 20,000 for 60 to 400 each). In each bucket every class is compared in full with
+one hub, the class whose buckets are fullest, then what is left with the next one, three times; classes in buckets whose
+rest still lies in several components are joined exactly by their rarest shingles. Nothing but the exact comparison rejects
+a pair. Texts are moved four times, never signatures of single shingles: to meet their equals, to be signed, to leave
+classes without a candidate behind, and to lose their lines.
 
 Cases. Null or empty text: no lines, unchanged. Lines without a word: always stay. Very long lines: all their shingles
 count. Ties: the smallest (doc_id, line). Repeated rows of one doc_id: equal lines at one doc_id and number are
@@ -29,34 +29,26 @@ from loomdoc.llm.common import fresh, release, staged, sweep
 from loomdoc.llm.components import components
 from loomdoc.llm.set_join import hub_links, rare_pairs
 
-SHINGLE, BANDS, ROWS = 8, 12, 4
-LOW, HIGH = 6, 12
+SHINGLE, GROUPS, BANDS, ROWS = 8, 8, 3, 4
 LOW32 = (1 << 32) - 1
 
 
-def shingles(line: Column) -> Column:
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+def points(line: Column) -> Column:
+    """The line as UTF-32: a shingle is 32 bytes at a place found at once, whatever characters stand before it."""
+    return F.encode(line, "UTF-32")
 
 
-def spaced(line: Column) -> Column:
-    """The shingles that stand after a space or at the line's start."""
-    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f"(?s) (?=(.{{{SHINGLE}}}))"), F.lit(1))
+def places(points: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(points) - (4 * SHINGLE - 1)), F.lit(4))
 
 
-def hashes(strings: Column) -> Column:
-    return F.array_distinct(F.transform(strings, lambda g: F.xxhash64(g)))
+def hashed(points: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(points, place, F.lit(4 * SHINGLE)))
 
 
-def signed(line: Column) -> Column:
-    """The hashes that sign a line; their last bit tells whether they are of spaced shingles or of all."""
-    none = F.array().cast("array<bigint>")
-
-    def both(own: Column) -> Column:
-        few = F.when(F.size(own) < HIGH, F.transform(hashes(shingles(line)), lambda h: F.shiftleft(F.shiftright(h, 1), 1))).otherwise(none)
-        many = F.when(F.size(own) >= LOW, F.transform(own, lambda h: F.shiftleft(F.shiftright(h, 1), 1) + 1)).otherwise(none)
-        return F.concat(few, many)
-
-    return F.transform(F.array(hashes(spaced(line))), both)[0]
+def hashes(line: Column) -> Column:
+    """The hashes of a line's shingles, each once."""
+    return F.transform(F.array(points(line)), lambda p: F.array_distinct(F.transform(places(p), lambda i: hashed(p, i))))[0]
 
 
 def multipliers(n: int) -> list[int]:
@@ -69,12 +61,15 @@ def multipliers(n: int) -> list[int]:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(node, buckets): of classes' (node, s), the buckets of each class."""
-    hashed = classes.select("node", F.explode_outer(signed(F.col("s"))).alias("h"))
-    halves = hashed.select("node", F.col("h").bitwiseAND(F.lit(1)).alias("kind"), F.shiftrightunsigned("h", 32).alias("a"), F.col("h").bitwiseAND(F.lit(LOW32)).alias("b"))
-    coordinates = [F.min((F.col("a") + F.col("b") * F.lit(m)).bitwiseAND(F.lit(LOW32))).alias(f"m{i}") for i, m in enumerate(multipliers(BANDS * ROWS))]
-    keys = F.array(*[F.xxhash64(F.lit(k), "kind", *[f"m{k * ROWS + r}" for r in range(ROWS)]) for k in range(BANDS)])
-    return halves.groupBy("node", "kind").agg(*coordinates).select("node", keys.alias("buckets"))
+    """(node, bucket): of classes' (node, s), the buckets of each class, BANDS for each group that has a shingle."""
+    # dealt by node first: what is grouped by node afterwards stays where it is
+    lines = classes.repartition("node").select("node", points(F.col("s")).alias("p"))
+    shingles = lines.select("node", "p", F.explode(places(F.col("p"))).alias("i")).select("node", hashed(F.col("p"), F.col("i")).alias("h"))
+    a, b = F.shiftrightunsigned("h", 32), F.col("h").bitwiseAND(F.lit(LOW32))
+    orders = [F.min((F.col("a") + F.col("b") * F.lit(m)).bitwiseAND(F.lit(LOW32))).alias(f"m{i}") for i, m in enumerate(multipliers(BANDS * ROWS))]
+    least = shingles.select("node", F.pmod(a, F.lit(GROUPS)).alias("g"), a.alias("a"), b.alias("b")).groupBy("node", "g").agg(*orders)
+    keys = [F.xxhash64(F.lit(k), "g", *[f"m{k * ROWS + r}" for r in range(ROWS)]) for k in range(BANDS)]
+    return least.select("node", F.explode(F.array(*keys)).alias("bucket"))
 
 
 def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,12 +81,11 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
     classes = keyed.groupBy("key").agg(F.first("s").alias("s"), F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
     classes = staged(classes.select("key", F.monotonically_increasing_id().alias("node"), "first", (F.col("first") != F.col("last")).alias("several"), "s"), "line-classes", "zstd")
     sweep(docs.sparkSession)
-    signs = staged(bands(classes.select("node", "s")), "line-bands")
+    buckets = staged(bands(classes.select("node", "s")), "line-bands")
     sweep(docs.sparkSession)
-    buckets = signs.select("node", F.explode("buckets").alias("bucket"))
     many = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    shared = staged(buckets.join(many, "bucket"), "line-candidates")
-    release(signs)
+    shared = staged(buckets.join(many.hint("shuffle_hash"), "bucket"), "line-candidates")
+    release(buckets)
     degree = staged(shared.groupBy("node").agg(F.sum("c").alias("degree")), "line-degrees")
     left = staged(shared.drop("c").join(degree, "node"), "line-shared")
     release(shared)
@@ -102,24 +96,17 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
         ends = [texts.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
         met = pairs.join(ends[0], "a").join(ends[1], "b")
 
-        def near(x: Column, y: Column) -> Column:
-            both = F.size(F.array_intersect(x, y))
-            return (F.size(x) < HIGH) | (F.size(y) < HIGH) | (3 * both >= F.size(x) + F.size(y))
-
         def alike(x: Column, y: Column) -> Column:
             return F.transform(F.array(F.size(F.array_intersect(x, y))), lambda i: 100 * i >= percent * (F.size(x) + F.size(y) - i))[0]
 
-        def of(test, make) -> Column:
-            return F.transform(F.array(F.struct(make(F.col("sa")).alias("x"), make(F.col("sb")).alias("y"))), lambda p: test(p["x"], p["y"]))[0]
-
-        sure = F.when(of(near, lambda s: hashes(spaced(s))), of(alike, lambda s: hashes(shingles(s)))).otherwise(False)
-        return staged(met.where(sure).select("a", "b"), "line-links")
+        sets = F.array(F.struct(hashes(F.col("sa")).alias("x"), hashes(F.col("sb")).alias("y")))
+        return staged(met.where(F.transform(sets, lambda p: alike(p["x"], p["y"]))[0]).select("a", "b"), "line-links")
 
     links, found, rest = hub_links(left, verified)
     release(left)
     if not rest.isEmpty():
         nodes = rest.select("node", "component").distinct()
-        sets = texts.join(nodes, "node").select("node", "component", hashes(shingles(F.col("s"))).alias("g"))
+        sets = texts.join(nodes, "node").select("node", "component", hashes(F.col("s")).alias("g"))
         tokens = staged(sets.select("node", F.size("g").cast("long").alias("n"), "component", F.explode_outer("g").alias("h")), "line-shingles")
         holds: list[DataFrame] = []
         more = verified(rare_pairs(tokens, percent, holds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -132,3 +132,20 @@ def test_short_lines(spark):
     out = drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out.where("doc_id % 2 = 0 and n_dropped > 0").count() == 0
     assert out.where("doc_id % 2 = 1 and n_dropped = 0").count() <= 8
+
+
+def test_lines_by_all_shingles(spark):
+    """Lines whose shingles after spaces all differ, 694 of 854 shingles being equal; and shingles are of characters, not bytes."""
+    import random
+
+    from loomdoc.llm.line_dedup import drop_lines
+
+    r = random.Random(4)
+    rows = []
+    for i in range(20):
+        tail = "".join(r.choice(string.ascii_lowercase) for _ in range(700))
+        rows += [(2 * i + k, " ".join(r.choice(string.ascii_letters) for _ in range(40)) + " " + tail) for k in (0, 1)]
+    wide = "".join(r.choice("aé漢😀🜁ß") for _ in range(17))
+    rows += [(40, wide[:16]), (41, wide[1:]), (42, wide[2:13] + "zzzz"), (43, "a"), (44, "a"), (45, "é"), (46, "")]
+    out = drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [x.doc_id for x in out.where("n_dropped > 0").orderBy("doc_id").collect()] == [*range(1, 40, 2), 41, 44]

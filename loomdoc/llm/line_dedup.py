@@ -22,6 +22,8 @@ replaced.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def multipliers(n: int) -> list[int]:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(node, bucket): of classes' (node, s), the buckets of each class, BANDS for each group that has a shingle."""
+    """(node, buckets): of classes' (node, s), the buckets of each group that has a shingle."""
     # dealt by node first: what is grouped by node afterwards stays where it is
     lines = classes.repartition("node").select("node", points(F.col("s")).alias("p"))
     shingles = lines.select("node", "p", F.explode(places(F.col("p"))).alias("i")).select("node", hashed(F.col("p"), F.col("i")).alias("h"))
@@ -69,7 +71,7 @@ def bands(classes: DataFrame) -> DataFrame:
     orders = [F.min((F.col("a") + F.col("b") * F.lit(m)).bitwiseAND(F.lit(LOW32))).alias(f"m{i}") for i, m in enumerate(multipliers(BANDS * ROWS))]
     least = shingles.select("node", F.pmod(a, F.lit(GROUPS)).alias("g"), a.alias("a"), b.alias("b")).groupBy("node", "g").agg(*orders)
     keys = [F.xxhash64(F.lit(k), "g", *[f"m{k * ROWS + r}" for r in range(ROWS)]) for k in range(BANDS)]
-    return least.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    return least.select("node", F.array(*keys).alias("buckets"))
 
 
 def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,11 +83,14 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
     classes = keyed.groupBy("key").agg(F.first("s").alias("s"), F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
     classes = staged(classes.select("key", F.monotonically_increasing_id().alias("node"), "first", (F.col("first") != F.col("last")).alias("several"), "s"), "line-classes", "zstd")
     sweep(docs.sparkSession)
-    buckets = staged(bands(classes.select("node", "s")), "line-bands")
+    time.sleep(0.2)  # just after a job its listeners may still hold its shuffle, so once more
+    sweep(docs.sparkSession)
+    signs = staged(bands(classes.select("node", "s")), "line-bands")
+    buckets = signs.select("node", F.explode("buckets").alias("bucket"))
     sweep(docs.sparkSession)
     many = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     shared = staged(buckets.join(many.hint("shuffle_hash"), "bucket"), "line-candidates")
-    release(buckets)
+    release(signs)
     degree = staged(shared.groupBy("node").agg(F.sum("c").alias("degree")), "line-degrees")
     left = staged(shared.drop("c").join(degree, "node"), "line-shared")
     release(shared)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -60,6 +61,22 @@ def sweep(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of jobs that have ended: it learns of them when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str:
+    """Has the driver's JVM give native memory that it has freed back to the machine, and returns what it says of that; "" if
+    it cannot. Planning and compiling leave freed pages in the C library's arenas, one for each of many threads."""
+    sc = spark.sparkContext
+    lang, management = sc._jvm.java.lang, sc._jvm.javax.management
+    try:
+        # by the interface's method: the server's own class is not open to reflection
+        invoke = next(m for m in lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = sc._gateway.new_array(lang.Object, 4)
+        args[0], args[1] = management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), args) or ""
+    except Py4JJavaError:  # older JVMs and other C libraries have no such command
+        return ""
 
 
 def fresh(df: DataFrame, name: str) -> str:

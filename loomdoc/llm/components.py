@@ -25,8 +25,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: neighbours above u go to the smallest of u and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = staged(large, "large-star")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = staged(large, "large-star")  # a row for each edge at most; equal ones meet in the small star
         # small star: the neighbours below u, and u itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
@@ -40,4 +40,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         release(found)
     release(edges)
-    return found
+    labels = found.select("node", "component")
+    labels.__dict__["_staged_at"] = found.__dict__.pop("_staged_at")
+    return labels
+
+
+def stars(found: DataFrame) -> DataFrame:
+    """Links (a, b) of each node of found (node, component) with its component: they connect what the component's links did."""
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))

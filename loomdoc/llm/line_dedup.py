@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdoc.llm.common import fresh, release, staged, sweep
-from loomdoc.llm.components import components
+from loomdoc.llm.components import components, stars
 from loomdoc.llm.set_join import hub_links, rare_pairs
 
 SHINGLE, GROUPS, BANDS, ROWS = 8, 8, 3, 4
@@ -107,7 +107,7 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
         sets = F.array(F.struct(hashes(F.col("sa")).alias("x"), hashes(F.col("sb")).alias("y")))
         return staged(met.where(F.transform(sets, lambda p: alike(p["x"], p["y"]))[0]).select("a", "b"), "line-links")
 
-    links, found, rest = hub_links(left, verified)
+    found, rest = hub_links(left, verified)
     release(left)
     if not rest.isEmpty():
         nodes = rest.select("node", "component").distinct()
@@ -115,10 +115,10 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
         tokens = staged(sets.select("node", F.size("g").cast("long").alias("n"), "component", F.explode_outer("g").alias("h")), "line-shingles")
         holds: list[DataFrame] = []
         more = verified(rare_pairs(tokens, percent, holds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        release(tokens, found, *holds)
-        found = components(links.union(more))
-        release(more)
-    release(links, rest, texts)
+        release(tokens, *holds)
+        before, found = found, components(more.union(stars(found)))
+        release(more, before)
+    release(rest, texts)
     # the first of a component stays; of a class alone, its own first
     named = classes.drop("s").join(found, "node", "left").where("component is not null or several").withColumn("component", F.coalesce("component", "node"))
     group = named.groupBy("component").agg(F.min("first").alias("keeper"))

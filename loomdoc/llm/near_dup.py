@@ -30,7 +30,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from loomdoc.llm.common import release, staged
-from loomdoc.llm.components import components
+from loomdoc.llm.components import components, stars
 from loomdoc.llm.set_join import hub_links, rare_pairs
 
 BANDS, ROWS = 20, 5
@@ -166,17 +166,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, size: int = 5, doc_id
         release(near)
         return found
 
-    links, found, rest = hub_links(left, verified)
+    found, rest = hub_links(left, verified)
     release(left)
     if not rest.isEmpty():
         own = signs.select("node", "n").join(rest.select("node", "component").distinct(), "node")
         tokens = staged(wholes.join(own, "node").select("node", "n", "component", F.explode_outer(hash_list("hashes")).alias("h")), "open-shingles")
         holds: list[DataFrame] = []
         more = verified(rare_pairs(tokens, percent, holds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        release(tokens, found, *holds)
-        found = components(links.union(more))
-        release(more)
-    release(links, rest, signs, wholes)
+        release(tokens, *holds)
+        before, found = found, components(more.union(stars(found)))
+        release(more, before)
+    release(rest, signs, wholes)
     # only components of several classes need a smallest id; the others have their class's
     joined = classes.join(found, "node")
     several = joined.join(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("key", "component_id")

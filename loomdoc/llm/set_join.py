@@ -12,37 +12,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.llm.common import release, staged
-from loomdoc.llm.components import components
+from loomdoc.llm.components import components, stars
 
 ROUNDS = 3
 
 
-def hub_links(shared: DataFrame, verified, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, components, rest) of shared (bucket, node, degree), where nodes of a bucket are candidates for a link.
+def hub_links(shared: DataFrame, verified, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(components, rest) of shared (bucket, node, degree), where nodes of a bucket are candidates for a link.
 
     In each round every node of a bucket is compared with the bucket's hub, the node of the largest degree, by
     verified(pairs of (a, b), a < b), which gives a staged table; then the hub leaves the bucket, and so does the bucket whose nodes all lie in one
-    component. A hub is an aggregate with partial sums, so a bucket of any size is handled without gathering it. rest is
+    component. The components found so far stand for their links in the next round. A hub is an aggregate with partial sums, so a bucket of any size is handled without gathering it. rest is
     what still lies in several components, (bucket, node, degree, component): no pair of it has been compared. All staged.
     """
     rest = shared.withColumn("component", F.col("node"))
-    held, links, found = None, None, None
+    held, found = None, None
     for _ in range(rounds):
         hub = F.max(F.struct("degree", F.col("node").alias("hub"), F.col("component").alias("of")))
         hubs = rest.groupBy("bucket").agg(hub.alias("h")).select("bucket", "h.hub", "h.of")
         pairs = rest.join(hubs, "bucket").where("component != of").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         more = verified(pairs)
-        links, old = (more, None) if links is None else (staged(links.union(more), "links"), links)
-        new = components(links)
+        new = components(more if found is None else more.union(stars(found)))
         others = rest.join(hubs, "bucket").where("node != hub").select("bucket", "node", "degree")
         now = others.join(new, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
         rest = staged(now.join(several, "bucket").select("bucket", "node", "degree", "component"), "open")
-        release(*[x for x in (held, found, old, more if old is not None else None) if x is not None])
+        release(*[x for x in (held, found, more) if x is not None])
         held, found = rest, new
         if rest.isEmpty():
             break
-    return links, found, rest
+    return found, rest
 
 
 def rare_pairs(tokens: DataFrame, percent: int, holds: list | None = None) -> DataFrame:

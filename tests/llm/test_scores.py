@@ -133,3 +133,46 @@ def test_components(spark):
     got = components(spark.createDataFrame(links + links[:20] + [(b, a) for a, b in links[:9]], "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in linked)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rounds_carry_components(spark, monkeypatch):
+    """A round starts from the components found so far: it reads their stars and its own links, not the links of all rounds."""
+    from loomdoc.llm import components as c
+    from loomdoc.llm.set_join import hub_links
+
+    rows, links, read = [(b, n, 100 - n) for b in (1, 2) for n in range(12 * b)], [], []
+
+    def verified(pairs):
+        new = sorted((r.a, r.b) for r in pairs.collect() if (r.b - r.a) % 3 == 0)
+        links.append(new)
+        return spark.createDataFrame(new, "a long, b long")
+
+    def kept(df, label, *more, f=c.staged):
+        out = f(df, label, *more)
+        if label == "links":
+            read.append({(r.v, r.u) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(c, "staged", kept)
+    found, rest = hub_links(spark.createDataFrame(rows, "bucket long, node long, degree long"), verified)
+    assert sorted((r.node, r.component) for r in found.collect()) == [(n, n % 3) for n in range(24)]
+    assert {(r.node, r.component) for r in rest.collect()} <= {(n, n % 3) for n in range(24)}
+    assert len(links) == 3 and read[0] == set(links[0])
+    for before, new, now in zip([links[0], links[0] + links[1]], links[1:], read[1:], strict=True):
+        assert now == set(new) | {(n % 3, n) for p in before for n in p if n != n % 3}
+
+
+def test_trim(spark):
+    """The driver's JVM gives freed native memory back when shuffle files are swept."""
+    import gc
+
+    from loomdoc.llm import common
+
+    said, f = [], common.trim
+    common.trim = lambda s: said.append(f(s))
+    try:
+        common.sweep(spark)
+    finally:
+        common.trim = f
+    gc.collect()
+    assert len(said) == 1 and said[0].startswith("Trim native heap")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -64,6 +66,21 @@ def sweep(spark: SparkSession) -> None:
     trim(spark)
 
 
+def settle(spark: SparkSession, most: int = 8) -> int:
+    """Sweeps until no shuffle is left, or `most` times, and returns how many are left: just after a job listeners and the
+    scheduler still hold its shuffles, so one sweep would leave them on disk during the next job. Other queries' stay."""
+    sc = spark.sparkContext._jsc.sc()
+    left = sc.env().mapOutputTracker().shuffleStatuses()
+    for _ in range(most):
+        with contextlib.suppress(Py4JJavaError):  # listeners that are still busy after ten seconds
+            sc.listenerBus().waitUntilEmpty(10_000)
+        sweep(spark)
+        time.sleep(0.2)  # the cleaner works beside
+        if not left.size():
+            break
+    return left.size()
+
+
 def trim(spark: SparkSession) -> str:
     """Has the driver's JVM give native memory that it has freed back to the machine, and returns what it says of that; "" if
     it cannot. Planning and compiling leave freed pages in the C library's arenas, one for each of many threads."""

@@ -7,11 +7,14 @@ the first stays, by doc_id and line number.
 Equal lines form one class at once. A class is signed by all its shingles: a shingle's hash puts it in one of 8 groups, and 12
 orders of a group's shingles give it 3 bands of 4 coordinates, so a class has up to 24 buckets, and groups have their own
 shingles. A pair at 0.80 misses all buckets with a chance of some 3e-6 (simulated: 6 of 100,000 for pairs with 5 shingles,
-none of 100,000 for 6 to 40 each, none of 20,000 for 60 to 400 each). In each bucket every class is compared in full with
-one hub, the class whose buckets are fullest, then what is left with the next one, three times; classes in buckets whose
-rest still lies in several components are joined exactly by their rarest shingles. Nothing but the exact comparison rejects
-a pair. Texts are moved four times, never signatures of single shingles: to meet their equals, to be signed, to leave
-classes without a candidate behind, and to lose their lines.
+none of 100,000 for 6 to 40 each, none of 20,000 for 60 to 400 each). Buckets are dealt in four passes, each in one shuffle
+that goes before the next, so that few of them lie on disk at once. In each bucket every class is compared with one hub, the
+class whose buckets are fullest. In buckets whose classes still lie in several components, those outside the largest one are
+compared with all classes of other components; where these are over a million pairs, hubs go on, and what they leave is
+joined exactly by the rarest shingles. A pair goes without the comparison in full only if a bound on its similarity shows
+that it must fail: marks, 2,048 bits for a class with one set for each shingle, tell how many shingles of either are
+surely not the other's. Texts are moved four times, never signatures of single shingles: to meet their equals, to be signed,
+to leave classes without a candidate behind, and to lose their lines.
 
 Cases. Null or empty text: no lines, unchanged. Lines without a word: always stay. Very long lines: all their shingles
 count. Ties: the smallest (doc_id, line). Repeated rows of one doc_id: equal lines at one doc_id and number are
@@ -22,16 +25,18 @@ replaced.
 
 from __future__ import annotations
 
-import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import fresh, release, staged, sweep
+from loomdoc.llm.common import fresh, release, settle, staged
 from loomdoc.llm.components import components, stars
-from loomdoc.llm.set_join import hub_links, rare_pairs
+from loomdoc.llm.set_join import hub_links, open_pairs, rare_pairs
 
 SHINGLE, GROUPS, BANDS, ROWS = 8, 8, 3, 4
+#: In so many passes buckets are dealt; so many words of 64 bits a class has for a pair's bound, and folded ones.
+PASSES, FINE, WORDS = 4, 32, 8
 LOW32 = (1 << 32) - 1
 
 
@@ -74,6 +79,56 @@ def bands(classes: DataFrame) -> DataFrame:
     return least.select("node", F.array(*keys).alias("buckets"))
 
 
+def candidates(signs: DataFrame) -> list[DataFrame]:
+    """(bucket, node, c) of the buckets that c nodes share, c > 1: a staged table for each pass over signs (node, buckets)."""
+    buckets = signs.select("node", F.explode("buckets").alias("bucket"))
+    out = []
+    for k in range(PASSES):
+        # one shuffle: counted where they lie, and joined there; the count reads the node so that the shuffle is the same
+        dealt = buckets.where(F.pmod("bucket", F.lit(PASSES)) == k).repartition("bucket")
+        many = dealt.groupBy("bucket").agg(F.count("node").alias("c")).where("c > 1")
+        out.append(staged(dealt.join(many.hint("shuffle_hash"), "bucket"), "line-candidates"))
+        del dealt, many
+        settle(signs.sparkSession)
+    return out
+
+
+def marks(texts: DataFrame) -> DataFrame:
+    """(node, marks, fine): of texts (node, s). fine: FINE words of 64 bits, one set for each shingle; marks: n, the number of
+    shingles, repeated ones too, and WORDS words that fine is folded to."""
+    lines = texts.select("node", points(F.col("s")).alias("p"))
+    shingles = lines.select("node", "p", F.explode(places(F.col("p"))).alias("i")).select("node", hashed(F.col("p"), F.col("i")).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
+    each = shingles.select("node", F.pmod("h", F.lit(FINE)).alias("word"), bit.alias("bit")).groupBy("node", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")).alias(f"f{w}") for w in range(FINE)]
+    folded = [reduce(Column.bitwiseOR, [F.col(f"f{w}") for w in range(k, FINE, WORDS)]).alias(f"w{k}") for k in range(WORDS)]
+    lines = each.groupBy("node").agg(F.sum("n").alias("n"), *words)
+    return lines.select("node", F.struct("n", *folded).alias("marks"), F.array(*[f"f{w}" for w in range(FINE)]).alias("fine"))
+
+
+def bound(x: Column, y: Column, p: Column, q: Column, percent: int) -> Column:
+    """Whether sets of at most x and y shingles may be alike, of which p and q at least are only in one. Of the first at most
+    x - p are common, and x + q are in either at least; a larger x only raises the quotient, so repeated shingles may count."""
+    return (100 * (x - p) >= percent * (x + q)) & (100 * (y - q) >= percent * (y + p))
+
+
+def alone(x: Column, y: Column) -> Column:
+    """How many bits x has that y has not: as many shingles at least y has not."""
+    return F.bit_count(x.bitwiseAND(F.bitwise_not(y))).cast("long")
+
+
+def possible(percent: int) -> Column:
+    """The bound by the marks ma and mb, as compiled code."""
+    p, q = (reduce(Column.__add__, [alone(F.col(f"m{x}.w{w}"), F.col(f"m{y}.w{w}")) for w in range(WORDS)]) for x, y in ("ab", "ba"))
+    return bound(F.col("ma.n"), F.col("mb.n"), p, q, percent)
+
+
+def possible_in_full(percent: int) -> Column:
+    """The bound by the marks ma, mb and by their fine words fa, fb."""
+    p, q = (F.aggregate(F.zip_with(f"f{x}", f"f{y}", alone), F.lit(0).cast("long"), Column.__add__) for x, y in ("ab", "ba"))
+    return F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda s: bound(F.col("ma.n"), F.col("mb.n"), s["p"], s["q"], percent))[0]
+
+
 def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines to drop: (doc_id, line, key), each once, staged; key: the line's MD5."""
     # outer: a plain explode would split texts once more to filter empty lists
@@ -82,22 +137,22 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
     # a node is a number given when the table is written: unique, unlike a hash
     classes = keyed.groupBy("key").agg(F.first("s").alias("s"), F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
     classes = staged(classes.select("key", F.monotonically_increasing_id().alias("node"), "first", (F.col("first") != F.col("last")).alias("several"), "s"), "line-classes", "zstd")
-    sweep(docs.sparkSession)
-    time.sleep(0.2)  # just after a job its listeners may still hold its shuffle, so once more
-    sweep(docs.sparkSession)
+    settle(docs.sparkSession)
     signs = staged(bands(classes.select("node", "s")), "line-bands")
-    buckets = signs.select("node", F.explode("buckets").alias("bucket"))
-    sweep(docs.sparkSession)
-    many = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    shared = staged(buckets.join(many.hint("shuffle_hash"), "bucket"), "line-candidates")
+    settle(docs.sparkSession)
+    parts = candidates(signs)
+    shared = reduce(DataFrame.union, parts)
     release(signs)
     degree = staged(shared.groupBy("node").agg(F.sum("c").alias("degree")), "line-degrees")
     left = staged(shared.drop("c").join(degree, "node"), "line-shared")
-    release(shared)
+    release(*parts)
     texts = staged(classes.select("node", "s").join(degree.select("node"), "node", "left_semi"), "line-texts")
     release(degree)
+    marked = staged(marks(texts), "line-marks")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        both = [marked.select(F.col("node").alias(c), F.col("marks").alias(f"m{c}"), F.col("fine").alias(f"f{c}")) for c in "ab"]
+        pairs = pairs.join(both[0], "a").join(both[1], "b").where(possible_in_full(percent)).select("a", "b")
         ends = [texts.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
         met = pairs.join(ends[0], "a").join(ends[1], "b")
 
@@ -107,18 +162,34 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
         sets = F.array(F.struct(hashes(F.col("sa")).alias("x"), hashes(F.col("sb")).alias("y")))
         return staged(met.where(F.transform(sets, lambda p: alike(p["x"], p["y"]))[0]).select("a", "b"), "line-links")
 
-    found, rest = hub_links(left, verified)
+    def joined(full: DataFrame, found: DataFrame) -> DataFrame:
+        """Components with the links of the buckets in full, (bucket, node, degree): by hubs, then by rare shingles."""
+        more, rest = hub_links(full, verified, found=found)
+        if not rest.isEmpty():
+            nodes = rest.select("node", "component").distinct()
+            sets = texts.join(nodes, "node").select("node", "component", hashes(F.col("s")).alias("g"))
+            tokens = staged(sets.select("node", F.size("g").cast("long").alias("n"), "component", F.explode_outer("g").alias("h")), "line-shingles")
+            holds: list[DataFrame] = []
+            links = verified(rare_pairs(tokens, percent, holds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            release(tokens, *holds)
+            before, more = more, components(links.union(stars(more)))
+            release(links, before)
+        release(rest)
+        return more
+
+    found, rest = hub_links(left, verified, rounds=1)
     release(left)
     if not rest.isEmpty():
-        nodes = rest.select("node", "component").distinct()
-        sets = texts.join(nodes, "node").select("node", "component", hashes(F.col("s")).alias("g"))
-        tokens = staged(sets.select("node", F.size("g").cast("long").alias("n"), "component", F.explode_outer("g").alias("h")), "line-shingles")
-        holds: list[DataFrame] = []
-        more = verified(rare_pairs(tokens, percent, holds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        release(tokens, *holds)
-        before, found = found, components(more.union(stars(found)))
-        release(more, before)
-    release(rest, texts)
+        pairs, full = open_pairs(rest, marked.select("node", "marks"), possible(percent))
+        links = verified(pairs)
+        full = staged(full, "line-full")
+        before, found = found, components(links.union(stars(found)))
+        release(links, before)
+        if not full.isEmpty():
+            before, found = found, joined(full, found)
+            release(before)
+        release(full)
+    release(rest, texts, marked)
     # the first of a component stays; of a class alone, its own first
     named = classes.drop("s").join(found, "node", "left").where("component is not null or several").withColumn("component", F.coalesce("component", "node"))
     group = named.groupBy("component").agg(F.min("first").alias("keeper"))

@@ -1,4 +1,5 @@
-"""Links of alike sets from buckets: by hubs, and an exact join of what hubs leave, with DataFrame functions alone.
+"""Links of alike sets from buckets: by hubs, by pairs of what hubs leave in small buckets, and an exact join of what they
+leave in large ones, with DataFrame functions alone.
 
 Cases. Empty table: no rows. Equal sets in different components: a pair. A set that shares no token: no pair. Ties in
 rarity: by the token. Pairs may come twice.
@@ -8,25 +9,29 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.llm.common import release, staged
 from loomdoc.llm.components import components, stars
 
 ROUNDS = 3
+#: A bucket with more pairs of this kind than these is left to the join: a task looks at them all.
+PAIRS = 1 << 20
 
 
-def hub_links(shared: DataFrame, verified, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def hub_links(shared: DataFrame, verified, rounds: int = ROUNDS, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(components, rest) of shared (bucket, node, degree), where nodes of a bucket are candidates for a link.
 
     In each round every node of a bucket is compared with the bucket's hub, the node of the largest degree, by
     verified(pairs of (a, b), a < b), which gives a staged table; then the hub leaves the bucket, and so does the bucket whose nodes all lie in one
-    component. The components found so far stand for their links in the next round. A hub is an aggregate with partial sums, so a bucket of any size is handled without gathering it. rest is
+    component. The components found so far, or given as found (which is not deleted), stand for their links in the next round. A hub is an aggregate with partial sums, so a bucket of any size is handled without gathering it. rest is
     what still lies in several components, (bucket, node, degree, component): no pair of it has been compared. All staged.
     """
     rest = shared.withColumn("component", F.col("node"))
-    held, found = None, None
+    given, held = found, None
+    if given is not None:
+        rest = shared.join(given, "node", "left").withColumn("component", F.coalesce("component", "node"))
     for _ in range(rounds):
         hub = F.max(F.struct("degree", F.col("node").alias("hub"), F.col("component").alias("of")))
         hubs = rest.groupBy("bucket").agg(hub.alias("h")).select("bucket", "h.hub", "h.of")
@@ -37,13 +42,28 @@ def hub_links(shared: DataFrame, verified, rounds: int = ROUNDS) -> tuple[DataFr
         now = others.join(new, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
         rest = staged(now.join(several, "bucket").select("bucket", "node", "degree", "component"), "open")
-        release(*[x for x in (held, found, more) if x is not None])
+        release(*[x for x in (held, found, more) if x is not None and x is not given])
         held, found = rest, new
         if rest.isEmpty():
             break
     return found, rest
 
 
+def open_pairs(rest: DataFrame, marked: DataFrame, possible: Column) -> tuple[DataFrame, DataFrame]:
+    """(pairs, full) of rest (bucket, node, degree, component): the pairs (a, b), a < b, of nodes of one bucket in different
+    components, each once, which by their marks ma and mb are possible; and full, (bucket, node, degree), the buckets with too many pairs.
+
+    marked: (node, marks). Nodes outside the bucket's largest component meet all others, so each pair of different components does.
+    """
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
+    sized = rest.join(sizes.select("bucket", F.col("m.component").alias("big"), (F.col("all") - F.col("m.c")).alias("out"), "all"), "bucket")
+    small = (F.col("out") * F.col("all")) <= PAIRS
+    few = sized.where(small).select("bucket", "node", "component", "big").join(marked, "node")
+    one, two = (few.select("bucket", F.col("node").alias(x), F.col("component").alias(f"c{x}"), "big", F.col("marks").alias(f"m{x}")) for x in "ab")
+    met = one.where("ca != big").join(two.drop("big"), "bucket").where(F.expr("ca != cb and (cb = big or a < b)") & possible)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sized.where(~small).select("bucket", "node", "degree")
+
+
 def rare_pairs(tokens: DataFrame, percent: int, holds: list | None = None) -> DataFrame:
     """Pairs (a, na, b, nb) of sets in different components that hold all with a Jaccard similarity of percent or more.
 

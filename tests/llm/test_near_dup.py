@@ -149,3 +149,67 @@ def test_lines_by_all_shingles(spark):
     rows += [(40, wide[:16]), (41, wide[1:]), (42, wide[2:13] + "zzzz"), (43, "a"), (44, "a"), (45, "é"), (46, "")]
     out = drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [x.doc_id for x in out.where("n_dropped > 0").orderBy("doc_id").collect()] == [*range(1, 40, 2), 41, 44]
+
+
+def test_lines_leave_no_shuffles(spark, monkeypatch):
+    """When lines are signed, and when a pass over their buckets begins, no shuffle of a job before is left on disk."""
+    from loomdoc.llm import line_dedup
+
+    at = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    staged, seen = line_dedup.staged, []
+
+    def watched(df, label, *rest):
+        seen.append((label, at.size()))
+        return staged(df, label, *rest)
+
+    monkeypatch.setattr(line_dedup, "staged", watched)
+    rows = [(i, f"a line of its own that has the number {i * i} in it\nand another one, number {i % 7}") for i in range(200)]
+    line_dedup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    late = [n for label, n in seen if label in ("line-bands", "line-candidates")]
+    assert len(late) > 1 and not any(late)
+
+
+def test_line_bounds(spark, monkeypatch):
+    """Pairs around 0.80 of lines of many lengths, some with repeated shingles: no alike one goes by its marks, most others do;
+    and the links are the same by pairs in small buckets and by more hubs and rare shingles in large ones."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loomdoc.llm import line_dedup, set_join
+
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        n = r.choice([3, 12, 40, 150, 600, 3000])
+        s = ("abcdefghijkl" * n)[:n] if i % 10 == 0 else "".join(r.choice("abcdefgh ") for _ in range(n))
+        cut = int(n * r.choice([0, 0.05, 0.1, 0.2, 0.3]))
+        rows.append((i, s, s[cut:] + "".join(r.choice("xyz") for _ in range(r.choice([0, cut // 2])))))
+    table = spark.createDataFrame(rows, "node long, sa string, sb string")
+    ends = [line_dedup.marks(table.select("node", F.col(f"s{c}").alias("s"))).select("node", F.col("marks").alias(f"m{c}"), F.col("fine").alias(f"f{c}")) for c in "ab"]
+    both = table.select("node").join(ends[0], "node").join(ends[1], "node").select("node", line_dedup.possible(80).alias("x"), line_dedup.possible_in_full(80).alias("y"))
+    got = {x.node: (x.x, x.y) for x in both.collect()}
+    sets = [[{s[j : j + 8] for j in range(max(1, len(s) - 7))} for s in pair] for _, *pair in rows]
+    alike = {i for i, (x, y) in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(got) == 300 and 100 < len(alike) < 250 and all(got[i] == (True, True) for i in alike)
+    assert sum(got[i][1] for i in range(300) if i not in alike) < 0.5 * (300 - len(alike))
+    docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, a, b in rows], "doc_id long, text string")
+    few = sorted(map(tuple, line_dedup.drop_lines(docs).select("doc_id", "text").collect()))
+    monkeypatch.setattr(set_join, "PAIRS", 0)
+    assert few == sorted(map(tuple, line_dedup.drop_lines(docs).select("doc_id", "text").collect()))
+
+
+def test_open_pairs(spark):
+    """Each pair of a bucket's nodes of different components, once; a bucket with too many is given back whole."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from loomdoc.llm import set_join
+
+    rest = [(1, n, 1, c) for n, c in enumerate([0, 0, 0, 3, 4, 4])] + [(2, n, 1, n) for n in (1, 3, 5)] + [(3, n, 1, n) for n in range(10, 1100)]
+    marked = spark.createDataFrame([(n, n) for n in range(1100)], "node long, marks long")
+    pairs, full = set_join.open_pairs(spark.createDataFrame(rest, "bucket long, node long, degree long, component long"), marked, F.lit(True))
+    want = {(x[1], y[1]) for b in (1, 2) for x, y in combinations([z for z in rest if z[0] == b], 2) if x[3] != y[3]}
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert sorted(x.node for x in full.collect()) == list(range(10, 1100))

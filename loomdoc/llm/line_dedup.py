@@ -7,8 +7,8 @@ the first stays, by doc_id and line number.
 Equal lines form one class at once. A class is signed by all its shingles: a shingle's hash puts it in one of 8 groups, and 12
 orders of a group's shingles give it 3 bands of 4 coordinates, so a class has up to 24 buckets, and groups have their own
 shingles. A pair at 0.80 misses all buckets with a chance of some 3e-6 (simulated: 6 of 100,000 for pairs with 5 shingles,
-none of 100,000 for 6 to 40 each, none of 20,000 for 60 to 400 each). Buckets are dealt in four passes, each in one shuffle
-that goes before the next, so that few of them lie on disk at once. In each bucket every class is compared with one hub, the
+none of 100,000 for 6 to 40 each, none of 20,000 for 60 to 400 each). Classes are signed in two passes and buckets dealt in
+four, each in one shuffle that goes before the next, so that few texts and buckets lie on disk at once. In each bucket every class is compared with one hub, the
 class whose buckets are fullest. In buckets whose classes still lie in several components, those outside the largest one are
 compared with all classes of other components; where these are over a million pairs, hubs go on, and what they leave is
 joined exactly by the rarest shingles. A pair goes without the comparison in full only if a bound on its similarity shows
@@ -35,8 +35,8 @@ from loomdoc.llm.components import components, stars
 from loomdoc.llm.set_join import hub_links, open_pairs, rare_pairs
 
 SHINGLE, GROUPS, BANDS, ROWS = 8, 8, 3, 4
-#: In so many passes buckets are dealt; so many words of 64 bits a class has for a pair's bound, and folded ones.
-PASSES, FINE, WORDS = 4, 32, 8
+#: In so many passes classes are signed, and buckets dealt; so many words of 64 bits a class has for a pair's bound, and folded ones.
+HALVES, PASSES, FINE, WORDS = 2, 4, 32, 8
 LOW32 = (1 << 32) - 1
 
 
@@ -138,16 +138,19 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
     classes = keyed.groupBy("key").agg(F.first("s").alias("s"), F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"))
     classes = staged(classes.select("key", F.monotonically_increasing_id().alias("node"), "first", (F.col("first") != F.col("last")).alias("several"), "s"), "line-classes", "zstd")
     settle(docs.sparkSession)
-    signs = staged(bands(classes.select("node", "s")), "line-bands")
-    settle(docs.sparkSession)
-    parts = candidates(signs)
+    signs = []
+    for k in range(HALVES):
+        signs.append(staged(bands(classes.where(F.pmod("node", F.lit(HALVES)) == k).select("node", "s")), "line-bands"))
+        settle(docs.sparkSession)
+    parts = candidates(reduce(DataFrame.union, signs))
     shared = reduce(DataFrame.union, parts)
-    release(signs)
+    release(*signs)
     degree = staged(shared.groupBy("node").agg(F.sum("c").alias("degree")), "line-degrees")
     left = staged(shared.drop("c").join(degree, "node"), "line-shared")
     release(*parts)
     texts = staged(classes.select("node", "s").join(degree.select("node"), "node", "left_semi"), "line-texts")
     release(degree)
+    settle(docs.sparkSession)
     marked = staged(marks(texts), "line-marks")
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ class whose buckets are fullest. In buckets whose classes still lie in several c
 compared with all classes of other components; where these are over a million pairs, hubs go on, and what they leave is
 joined exactly by the rarest shingles. A pair goes without the comparison in full only if a bound on its similarity shows
 that it must fail: marks, 2,048 bits for a class with one set for each shingle, tell how many shingles of either are
-surely not the other's. Texts are moved four times, never signatures of single shingles: to meet their equals, to be signed,
+surely not the other's. In open buckets this is asked before a pair becomes a row, and in the first bucket that both are in. Texts are moved four times, never signatures of single shingles: to meet their equals, to be signed,
 to leave classes without a candidate behind, and to lose their lines.
 
 Cases. Null or empty text: no lines, unchanged. Lines without a word: always stay. Very long lines: all their shingles
@@ -35,8 +35,8 @@ from loomdoc.llm.components import components, stars
 from loomdoc.llm.set_join import hub_links, open_pairs, rare_pairs
 
 SHINGLE, GROUPS, BANDS, ROWS = 8, 8, 3, 4
-#: In so many passes classes are signed, and buckets dealt; so many words of 64 bits a class has for a pair's bound, and folded ones.
-HALVES, PASSES, FINE, WORDS = 2, 4, 32, 8
+#: In so many passes classes are signed, and buckets dealt; so many words of 64 bits a class has for a pair's bound.
+HALVES, PASSES, FINE = 2, 4, 32
 LOW32 = (1 << 32) - 1
 
 
@@ -94,16 +94,15 @@ def candidates(signs: DataFrame) -> list[DataFrame]:
 
 
 def marks(texts: DataFrame) -> DataFrame:
-    """(node, marks, fine): of texts (node, s). fine: FINE words of 64 bits, one set for each shingle; marks: n, the number of
-    shingles, repeated ones too, and WORDS words that fine is folded to."""
+    """(node, marks, fine): of texts (node, s). fine: FINE words of 64 bits, one set for each shingle; marks: the number of
+    shingles, repeated ones too."""
     lines = texts.select("node", points(F.col("s")).alias("p"))
     shingles = lines.select("node", "p", F.explode(places(F.col("p"))).alias("i")).select("node", hashed(F.col("p"), F.col("i")).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
     each = shingles.select("node", F.pmod("h", F.lit(FINE)).alias("word"), bit.alias("bit")).groupBy("node", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
     words = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")).alias(f"f{w}") for w in range(FINE)]
-    folded = [reduce(Column.bitwiseOR, [F.col(f"f{w}") for w in range(k, FINE, WORDS)]).alias(f"w{k}") for k in range(WORDS)]
-    lines = each.groupBy("node").agg(F.sum("n").alias("n"), *words)
-    return lines.select("node", F.struct("n", *folded).alias("marks"), F.array(*[f"f{w}" for w in range(FINE)]).alias("fine"))
+    lines = each.groupBy("node").agg(F.sum("n").alias("marks"), *words)
+    return lines.select("node", "marks", F.array(*[f"f{w}" for w in range(FINE)]).alias("fine"))
 
 
 def bound(x: Column, y: Column, p: Column, q: Column, percent: int) -> Column:
@@ -118,15 +117,16 @@ def alone(x: Column, y: Column) -> Column:
 
 
 def possible(percent: int) -> Column:
-    """The bound by the marks ma and mb, as compiled code."""
-    p, q = (reduce(Column.__add__, [alone(F.col(f"m{x}.w{w}"), F.col(f"m{y}.w{w}")) for w in range(WORDS)]) for x, y in ("ab", "ba"))
-    return bound(F.col("ma.n"), F.col("mb.n"), p, q, percent)
+    """A bound by the marks ma and mb and all words of fa and fb, as compiled code: alike sets of s shingles, both counted,
+    have at most s * (100 - percent) / (100 + percent) that only one of them has, and each bit that only one has is one at least."""
+    apart = reduce(Column.__add__, [F.bit_count(F.get("fa", F.lit(w)).bitwiseXOR(F.get("fb", F.lit(w)))) for w in range(FINE)])
+    return (100 - percent) * (F.col("ma") + F.col("mb")) >= (100 + percent) * apart
 
 
 def possible_in_full(percent: int) -> Column:
     """The bound by the marks ma, mb and by their fine words fa, fb."""
     p, q = (F.aggregate(F.zip_with(f"f{x}", f"f{y}", alone), F.lit(0).cast("long"), Column.__add__) for x, y in ("ab", "ba"))
-    return F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda s: bound(F.col("ma.n"), F.col("mb.n"), s["p"], s["q"], percent))[0]
+    return F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda s: bound(F.col("ma"), F.col("mb"), s["p"], s["q"], percent))[0]
 
 
 def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,7 +183,7 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
     found, rest = hub_links(left, verified, rounds=1)
     release(left)
     if not rest.isEmpty():
-        pairs, full = open_pairs(rest, marked.select("node", "marks"), possible(percent))
+        pairs, full = open_pairs(rest, marked, possible(percent))
         links = verified(pairs)
         full = staged(full, "line-full")
         before, found = found, components(links.union(stars(found)))

@@ -213,3 +213,21 @@ def test_open_pairs(spark):
     want = {(x[1], y[1]) for b in (1, 2) for x, y in combinations([z for z in rest if z[0] == b], 2) if x[3] != y[3]}
     assert sorted(map(tuple, pairs.collect())) == sorted(want)
     assert sorted(x.node for x in full.collect()) == list(range(10, 1100))
+
+
+def test_open_pairs_rows(spark):
+    """Of 60 lines, 0.6 to 0.75 alike, in six shared buckets, fewer than a third of the pairs become rows; alike ones all do, once."""
+    import random
+
+    from loomdoc.llm import line_dedup, set_join
+
+    r = random.Random(5)
+    base = [r.choice("abcdefghijklmnopqrstuvwxyz") * 3 + str(r.random())[2:12] for _ in range(50)]
+    lines = [" ".join(w if r.random() > 0.08 else str(r.random())[2:15] for w in base) for _ in range(60)]
+    lines += [s[:-20] for s in lines[:10]]
+    sets = [{s[i : i + 8] for i in range(len(s) - 7)} for s in lines]
+    alike = {(a, b) for a in range(70) for b in range(a + 1, 70) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    rest = spark.createDataFrame([(k, n, 1, n) for k in range(6) for n in range(70)], "bucket long, node long, degree long, component long")
+    marked = line_dedup.marks(spark.createDataFrame(list(enumerate(lines)), "node long, s string")).localCheckpoint()
+    met = list(map(tuple, set_join.open_pairs(rest, marked, line_dedup.possible(80))[0].collect()))
+    assert len(alike) >= 10 and alike <= set(met) and len(met) == len(set(met)) < 70 * 69 / 2 / 3

@@ -37,6 +37,8 @@ from loomdoc.llm.set_join import hub_links, open_pairs, rare_pairs
 SHINGLE, GROUPS, BANDS, ROWS = 8, 8, 3, 4
 #: In so many passes classes are signed, and buckets dealt; so many words of 64 bits a class has for a pair's bound.
 HALVES, PASSES, FINE = 2, 4, 32
+#: Chunks of bits that a task may be given, 32 MB.
+MOST = 1 << 13
 LOW32 = (1 << 32) - 1
 
 
@@ -93,6 +95,22 @@ def candidates(signs: DataFrame) -> list[DataFrame]:
     return out
 
 
+def chosen(classes: DataFrame, nodes: DataFrame, holds: list | None = None) -> DataFrame:
+    """The rows of classes whose node nodes has. Nodes go to every task as bits, a bit for each row that classes has, so texts stay
+    where they are; with more than MOST chunks of bits (4 KB each) both are dealt by node instead. holds: gets what is staged."""
+    # numbers that are given when a table is written follow each other within a partition, so chunks are dense
+    bits = nodes.groupBy(F.shiftright("node", 15).alias("chunk")).agg(F.bitmap_construct_agg(F.col("node").bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = staged(bits, "line-chosen")
+    if bits.count() > MOST:
+        release(bits)
+        return classes.join(nodes.select("node"), "node", "left_semi")
+    if holds is not None:
+        holds.append(bits)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright("node", 3).bitwiseAND(F.lit(4095)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    has = F.call_function("shiftright", byte, F.col("node").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return classes.join(F.broadcast(bits), F.shiftright("node", 15) == F.col("chunk")).where(has).select(*classes.columns)
+
+
 def marks(texts: DataFrame) -> DataFrame:
     """(node, marks, fine): of texts (node, s). fine: FINE words of 64 bits, one set for each shingle; marks: the number of
     shingles, repeated ones too."""
@@ -148,8 +166,8 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
     degree = staged(shared.groupBy("node").agg(F.sum("c").alias("degree")), "line-degrees")
     left = staged(shared.drop("c").join(degree, "node"), "line-shared")
     release(*parts)
-    texts = staged(classes.select("node", "s").join(degree.select("node"), "node", "left_semi"), "line-texts")
-    release(degree)
+    texts = staged(chosen(classes.select("node", "s"), degree, holds := []), "line-texts")
+    release(degree, *holds)
     settle(docs.sparkSession)
     marked = staged(marks(texts), "line-marks")
 

@@ -231,3 +231,21 @@ def test_open_pairs_rows(spark):
     marked = line_dedup.marks(spark.createDataFrame(list(enumerate(lines)), "node long, s string")).localCheckpoint()
     met = list(map(tuple, set_join.open_pairs(rest, marked, line_dedup.possible(80))[0].collect()))
     assert len(alike) >= 10 and alike <= set(met) and len(met) == len(set(met)) < 70 * 69 / 2 / 3
+
+
+def test_texts_stay(spark, monkeypatch):
+    """The rows whose node is asked for, by bits and by a join; by bits no row of texts is dealt out, even where no table is small."""
+    from loomdoc.llm import line_dedup
+
+    nodes = [p << 33 | n for p in (0, 1, 300) for n in (*range(20), 32766, 32767, 32768, 70000)]
+    classes = spark.createDataFrame([(n, f"s{n}") for n in nodes], "node long, s string")
+    asked = spark.createDataFrame([(n, 1) for n in nodes if n % 3 == 0 or n & 32767 == 32767], "node long, degree long")
+    want = sorted((n, f"s{n}") for (n, _) in asked.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.chosen(classes, asked)
+        assert sorted(map(tuple, out.collect())) == want and "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(line_dedup, "MOST", 1)
+    assert sorted(map(tuple, line_dedup.chosen(classes, asked).collect())) == want

@@ -13,8 +13,9 @@ class whose buckets are fullest. In buckets whose classes still lie in several c
 compared with all classes of other components; where these are over a million pairs, hubs go on, and what they leave is
 joined exactly by the rarest shingles. A pair goes without the comparison in full only if a bound on its similarity shows
 that it must fail: marks, 2,048 bits for a class with one set for each shingle, tell how many shingles of either are
-surely not the other's. In open buckets this is asked before a pair becomes a row, and in the first bucket that both are in. Texts are moved four times, never signatures of single shingles: to meet their equals, to be signed,
-to leave classes without a candidate behind, and to lose their lines.
+surely not the other's. In open buckets this and the comparison in full are made before a pair becomes a row, in the first bucket that both are in, so that only links
+leave them; texts of classes in such buckets come there. Else texts are moved four times, never signatures of single shingles: to meet
+their equals, to be signed, to leave classes without a candidate behind, and to lose their lines.
 
 Cases. Null or empty text: no lines, unchanged. Lines without a word: always stay. Very long lines: all their shingles
 count. Ties: the smallest (doc_id, line). Repeated rows of one doc_id: equal lines at one doc_id and number are
@@ -147,6 +148,16 @@ def possible_in_full(percent: int) -> Column:
     return F.transform(F.array(F.struct(p.alias("p"), q.alias("q"))), lambda s: bound(F.col("ma"), F.col("mb"), s["p"], s["q"], percent))[0]
 
 
+def alike(percent: int) -> Column:
+    """The comparison in full of the lines sa and sb, by all their shingles."""
+
+    def enough(x: Column, y: Column) -> Column:
+        return F.transform(F.array(F.size(F.array_intersect(x, y))), lambda i: 100 * i >= percent * (F.size(x) + F.size(y) - i))[0]
+
+    sets = F.array(F.struct(hashes(F.col("sa")).alias("x"), hashes(F.col("sb")).alias("y")))
+    return F.transform(sets, lambda p: enough(p["x"], p["y"]))[0]
+
+
 def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines to drop: (doc_id, line, key), each once, staged; key: the line's MD5."""
     # outer: a plain explode would split texts once more to filter empty lists
@@ -175,13 +186,7 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
         both = [marked.select(F.col("node").alias(c), F.col("marks").alias(f"m{c}"), F.col("fine").alias(f"f{c}")) for c in "ab"]
         pairs = pairs.join(both[0], "a").join(both[1], "b").where(possible_in_full(percent)).select("a", "b")
         ends = [texts.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
-        met = pairs.join(ends[0], "a").join(ends[1], "b")
-
-        def alike(x: Column, y: Column) -> Column:
-            return F.transform(F.array(F.size(F.array_intersect(x, y))), lambda i: 100 * i >= percent * (F.size(x) + F.size(y) - i))[0]
-
-        sets = F.array(F.struct(hashes(F.col("sa")).alias("x"), hashes(F.col("sb")).alias("y")))
-        return staged(met.where(F.transform(sets, lambda p: alike(p["x"], p["y"]))[0]).select("a", "b"), "line-links")
+        return staged(pairs.join(ends[0], "a").join(ends[1], "b").where(alike(percent)).select("a", "b"), "line-links")
 
     def joined(full: DataFrame, found: DataFrame) -> DataFrame:
         """Components with the links of the buckets in full, (bucket, node, degree): by hubs, then by rare shingles."""
@@ -201,8 +206,9 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", t
     found, rest = hub_links(left, verified, rounds=1)
     release(left)
     if not rest.isEmpty():
-        pairs, full = open_pairs(rest, marked, possible(percent))
-        links = verified(pairs)
+        # texts come to their buckets, so only a link becomes a row; the cheap bounds are asked first
+        links, full = open_pairs(rest, marked.join(texts, "node"), possible(percent), possible_in_full(percent) & alike(percent))
+        links = staged(links, "line-links")
         full = staged(full, "line-full")
         before, found = found, components(links.union(stars(found)))
         release(links, before)

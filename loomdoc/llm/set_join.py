@@ -49,12 +49,12 @@ def hub_links(shared: DataFrame, verified, rounds: int = ROUNDS, found: DataFram
     return found, rest
 
 
-def open_pairs(rest: DataFrame, marked: DataFrame, possible: Column) -> tuple[DataFrame, DataFrame]:
+def open_pairs(rest: DataFrame, marked: DataFrame, possible: Column, alike: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, full) of rest (bucket, node, degree, component): the pairs (a, b), a < b, of nodes of one bucket in different
-    components, each once, which by their marks ma, mb (and what else marked has) are possible; and full, (bucket, node, degree), the buckets with too many pairs.
+    components, each once, which by their marks ma, mb (and what else marked has) are possible, and alike if that is given; and full, (bucket, node, degree), the buckets with too many pairs.
 
     marked: (node, marks, ...). Nodes outside the bucket's largest component meet all others, so each pair of different components does.
-    A pair that several buckets share leaves the smallest of them alone: what is not possible, or was met before, never becomes a row.
+    A pair that several buckets share leaves the smallest of them alone: what is not possible or alike, or was met before, never becomes a row.
     """
     sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
     sized = rest.join(sizes.select("bucket", F.col("m.component").alias("big"), (F.col("all") - F.col("m.c")).alias("out"), "all"), "bucket")
@@ -64,7 +64,9 @@ def open_pairs(rest: DataFrame, marked: DataFrame, possible: Column) -> tuple[Da
     named = {"node": "", "component": "c", "own": "o"} | {c: c[0] for c in marked.columns if c != "node"}
     one, two = (few.select("bucket", "big", *[F.col(c).alias(k + x) for c, k in named.items()]) for x in "ab")
     before = F.exists("oa", lambda z: (z < F.col("bucket")) & F.array_contains("ob", z))
-    met = one.where("ca != big").join(two.drop("big"), "bucket").where(F.expr("ca != cb and (cb = big or a < b)") & possible & ~before)
+    meets = F.expr("ca != cb and (cb = big or a < b)") & possible & ~before
+    # a merge join holds a bucket's rows of its right side: the nodes outside the largest component, 1,024 at most
+    met = two.drop("big").join(one.where("ca != big"), "bucket").where(meets if alike is None else meets & alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sized.where(~small).select("bucket", "node", "degree")
 
 

@@ -233,6 +233,27 @@ def test_open_pairs_rows(spark):
     assert len(alike) >= 10 and alike <= set(met) and len(met) == len(set(met)) < 70 * 69 / 2 / 3
 
 
+def test_open_buckets_give_links(spark):
+    """Of lines in six shared buckets, mostly 0.6 to 0.79 alike, the open buckets give each alike pair once, and no other row that the bounds allow."""
+    import random
+
+    from loomdoc.llm import line_dedup, set_join
+
+    r = random.Random(5)
+    base = [r.choice(string.ascii_lowercase) * 3 + str(r.random())[2:12] for _ in range(50)]
+    lines = [" ".join(w if r.random() > 0.07 else str(r.random())[2:15] for w in base) for _ in range(60)]
+    lines += [s[:-20] for s in lines[:10]]
+    sets = [{s[i : i + 8] for i in range(len(s) - 7)} for s in lines]
+    want = sorted((a, b) for a in range(70) for b in range(a + 1, 70) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    rest = spark.createDataFrame([(k, n, 1, n) for k in range(6) for n in range(70)], "bucket long, node long, degree long, component long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, s string")
+    marked = line_dedup.marks(texts).join(texts, "node").localCheckpoint()
+    possible = line_dedup.possible(80)
+    allowed = set_join.open_pairs(rest, marked, possible)[0].count()
+    got = set_join.open_pairs(rest, marked, possible, line_dedup.possible_in_full(80) & line_dedup.alike(80))[0]
+    assert sorted(map(tuple, got.collect())) == want and len(want) < allowed
+
+
 def test_texts_stay(spark, monkeypatch):
     """The rows whose node is asked for, by bits and by a join; by bits no row of texts is dealt out, even where no table is small."""
     from loomdoc.llm import line_dedup

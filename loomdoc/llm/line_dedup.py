@@ -7,8 +7,8 @@ the first stays, by doc_id and line number.
 Equal lines form one class at once. A class is signed by all its shingles: a shingle's hash puts it in one of 8 groups, and 12
 orders of a group's shingles give it 3 bands of 4 coordinates, so a class has up to 24 buckets, and groups have their own
 shingles. A pair at 0.80 misses all buckets with a chance of some 3e-6 (simulated: 6 of 100,000 for pairs with 5 shingles,
-none of 100,000 for 6 to 40 each, none of 20,000 for 60 to 400 each). Classes are signed in two passes and buckets dealt in
-four, each in one shuffle that goes before the next, so that few texts and buckets lie on disk at once. In each bucket every class is compared with one hub, the
+none of 100,000 for 6 to 40 each, none of 20,000 for 60 to 400 each). Classes are signed in two passes and buckets dealt band
+by band, each in one shuffle that goes before the next, so that few texts and buckets lie on disk at once. In each bucket every class is compared with one hub, the
 class whose buckets are fullest. In buckets whose classes still lie in several components, those outside the largest one are
 compared with all classes of other components; where these are over a million pairs, hubs go on, and what they leave is
 joined exactly by the rarest shingles. A pair goes without the comparison in full only if a bound on its similarity shows
@@ -36,8 +36,8 @@ from loomdoc.llm.components import components, stars
 from loomdoc.llm.set_join import hub_links, open_pairs, rare_pairs
 
 SHINGLE, GROUPS, BANDS, ROWS = 8, 8, 3, 4
-#: In so many passes classes are signed, and buckets dealt; so many words of 64 bits a class has for a pair's bound.
-HALVES, PASSES, FINE = 2, 4, 32
+#: In so many passes classes are signed; so many words of 64 bits a class has for a pair's bound.
+HALVES, FINE = 2, 32
 #: Chunks of bits that a task may be given, 32 MB.
 MOST = 1 << 13
 LOW32 = (1 << 32) - 1
@@ -71,7 +71,7 @@ def multipliers(n: int) -> list[int]:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(node, buckets): of classes' (node, s), the buckets of each group that has a shingle."""
+    """(node, b0, b1, ...): of classes' (node, s), a bucket in each band for each group that has a shingle."""
     # dealt by node first: what is grouped by node afterwards stays where it is
     lines = classes.repartition("node").select("node", points(F.col("s")).alias("p"))
     shingles = lines.select("node", "p", F.explode(places(F.col("p"))).alias("i")).select("node", hashed(F.col("p"), F.col("i")).alias("h"))
@@ -79,16 +79,15 @@ def bands(classes: DataFrame) -> DataFrame:
     orders = [F.min((F.col("a") + F.col("b") * F.lit(m)).bitwiseAND(F.lit(LOW32))).alias(f"m{i}") for i, m in enumerate(multipliers(BANDS * ROWS))]
     least = shingles.select("node", F.pmod(a, F.lit(GROUPS)).alias("g"), a.alias("a"), b.alias("b")).groupBy("node", "g").agg(*orders)
     keys = [F.xxhash64(F.lit(k), "g", *[f"m{k * ROWS + r}" for r in range(ROWS)]) for k in range(BANDS)]
-    return least.select("node", F.array(*keys).alias("buckets"))
+    return least.select("node", *[key.alias(f"b{k}") for k, key in enumerate(keys)])
 
 
 def candidates(signs: DataFrame) -> list[DataFrame]:
-    """(bucket, node, c) of the buckets that c nodes share, c > 1: a staged table for each pass over signs (node, buckets)."""
-    buckets = signs.select("node", F.explode("buckets").alias("bucket"))
+    """(bucket, node, c) of the buckets that c nodes share, c > 1: a staged table for each band of signs (node, b0, b1, ...)."""
     out = []
-    for k in range(PASSES):
+    for k in range(BANDS):
         # one shuffle: counted where they lie, and joined there; the count reads the node so that the shuffle is the same
-        dealt = buckets.where(F.pmod("bucket", F.lit(PASSES)) == k).repartition("bucket")
+        dealt = signs.select("node", F.col(f"b{k}").alias("bucket")).repartition("bucket")
         many = dealt.groupBy("bucket").agg(F.count("node").alias("c")).where("c > 1")
         out.append(staged(dealt.join(many.hint("shuffle_hash"), "bucket"), "line-candidates"))
         del dealt, many
@@ -118,9 +117,9 @@ def marks(texts: DataFrame) -> DataFrame:
     lines = texts.select("node", points(F.col("s")).alias("p"))
     shingles = lines.select("node", "p", F.explode(places(F.col("p"))).alias("i")).select("node", hashed(F.col("p"), F.col("i")).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
-    each = shingles.select("node", F.pmod("h", F.lit(FINE)).alias("word"), bit.alias("bit")).groupBy("node", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
-    words = [F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")).alias(f"f{w}") for w in range(FINE)]
-    lines = each.groupBy("node").agg(F.sum("n").alias("marks"), *words)
+    # a column for each word: a node has one row while its shingles are counted, not one for each word
+    words = [F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"f{w}") for w in range(FINE)]
+    lines = shingles.select("node", F.pmod("h", F.lit(FINE)).cast("int").alias("word"), bit.alias("bit")).groupBy("node").agg(F.count("*").alias("marks"), *words)
     return lines.select("node", "marks", F.array(*[f"f{w}" for w in range(FINE)]).alias("fine"))
 
 

@@ -270,3 +270,25 @@ def test_texts_stay(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     monkeypatch.setattr(line_dedup, "MOST", 1)
     assert sorted(map(tuple, line_dedup.chosen(classes, asked).collect())) == want
+
+
+def test_lines_signed_flat(spark, monkeypatch):
+    """Buckets that several lines share, with their counts, against plain code; no pass explodes the buckets of all bands, and
+    marks leave a task as one row for each line, not as one for each of its words."""
+    from collections import Counter
+
+    from loomdoc.llm import line_dedup
+
+    rows = [(n, f"some line of text, number {n // 3}, that has {'an even' if n % 2 else 'an odd'} end") for n in range(60)] + [(60, "short"), (61, "x" * 40)]
+    texts = spark.createDataFrame(rows, "node long, s string").repartition(3).localCheckpoint()
+    signs = line_dedup.bands(texts).localCheckpoint()
+    held = [(r.node, b) for r in signs.collect() for x in r[1:] for b in (x if isinstance(x, list) else [x])]
+    count = Counter(b for _, b in held)
+    plans, staged = [], line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, *rest))
+    got = sorted((r.node, r.bucket, r.c) for part in line_dedup.candidates(signs) for r in part.collect())
+    assert got == sorted((n, b, count[b]) for n, b in held if count[b] > 1) and len(got) > 60
+    assert plans and not any("Generate" in p for p in plans)
+    plan = line_dedup.marks(texts)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((.*?), \d+\)", plan) == re.findall(r"hashpartitioning\((node#\d+L), \d+\)", plan) != []
+    assert sorted(r.marks for r in line_dedup.marks(texts).collect()) == sorted(max(1, len(s) - 7) for _, s in rows)
